@@ -70,7 +70,7 @@ def draw_rows(seeds: str, count: str) -> str:
     f"WITH RECURSIVE {seed_rows('s', '42', '(SELECT count(*) FROM supplier)')} SELECT part, seed FROM s",
 )
 def rand_seeds(spark, folder):
-    return part_seeds(spark, read_table(spark, folder, "supplier").count(), 42)
+    return part_seeds(spark, read_table(spark, folder, "supplier").count(), seed=42)
 
 
 @query(
@@ -116,7 +116,7 @@ FROM u JOIN v USING (part) JOIN d USING (part)""",
 )
 def seeds_per_part(spark, folder):
     n = read_table(spark, folder, "supplier").count()
-    return map_seeds({name: part_seeds(spark, n, k) for k, name in enumerate("uvd", 1)}, 4)
+    return map_seeds(part_seeds(spark, n, u_seed=1, v_seed=2, d_seed=3), 4)
 
 
 # -- entries and slices -------------------------------------------------------

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.catalog.base import BASE, column_matrix, diagonal, embeddings, known_x, query, rolled, rounded
-from ramify.functions.algebra import Matrix, array_sums
+from ramify.functions.algebra import array_sums, dot
 from ramify.plans.hodlr import Hodlr, heavy_layout
 from ramify.plans.irregular import solve_two_ranks
 from ramify.plans.levels import solve_by_levels
-from ramify.plans.tree import dot
 from ramify.sources.tables import read_spread, read_table
 
 KNOWN = BASE + "SELECT i, x FROM X"
@@ -31,14 +30,8 @@ def embedding_system(spark: SparkSession, folder: str, rank: int = 64) -> Hodlr:
 
 
 def with_rhs(h: Hodlr, *known: str) -> Hodlr:
-    """The system with ``b`` computed from known columns: one sum over the rows each."""
-    b = []
-    for x in known:
-        y = array_sums(h.system, F.col("v"), F.col(x), h.rank).scalar()
-        b.append((y, F.col("d") * F.col(x)))
-    rows = h.system.select("*", *[y.alias(f"y{k}") for k, (y, _) in enumerate(b)])
-    sides = [dot("u", f"y{k}") + dx for k, (_, dx) in enumerate(b)]
-    return Hodlr(rows.withColumn("b", F.array(*sides)), h.keys, h.rank)
+    """The system with ``b array`` computed from known columns."""
+    return Hodlr(h.products(*known).withColumnRenamed("ax", "b"), h.keys, h.rank)
 
 
 def first_x(solved: DataFrame, *keys: str) -> DataFrame:
@@ -89,7 +82,7 @@ def hodlr_from_matrices(spark, folder):
 @query("hodlr_multi_rhs", BASE + "SELECT i, x AS x0, (1 + i % 11)::DOUBLE AS x1, -x AS x2 FROM X")
 def hodlr_multi_rhs(spark, folder):
     h = embedding_system(spark, folder)
-    rows = h.system.withColumn("x1", 1.0 + F.col("i") % 11).withColumn("x2", -F.col("x")).drop("b", "y0")
+    rows = h.system.withColumn("x1", 1.0 + F.col("i") % 11).withColumn("x2", -F.col("x")).drop("b")
     h = with_rhs(Hodlr(rows, rank=h.rank), "x", "x1", "x2")
     solved = h.solve("b", leaf=125, nrhs=3)
     return solved.select("i", *[rounded(F.col("x")[k]).alias(f"x{k}") for k in range(3)])
@@ -129,13 +122,14 @@ def hodlr_irregular_ranks(spark, folder):
                 F.slice("e2", 17, ranks[1 - s]).alias("w"),
             )
         )
-    vtx = [array_sums(side, F.col("v"), F.col("x"), ranks[s]) for s, side in enumerate(sides)]
-    wtx = [array_sums(side, F.col("w"), F.col("x"), ranks[1 - s]) for s, side in enumerate(sides)]
+    vtx = [array_sums(side, F.col("v"), [F.col("x")], ranks[s]) for s, side in enumerate(sides)]
+    wtx = [array_sums(side, F.col("w"), [F.col("x")], ranks[1 - s]) for s, side in enumerate(sides)]
     systems = []
     for s, side in enumerate(sides):
-        y = side.select("*", vtx[s].scalar().alias("own"), wtx[1 - s].scalar().alias("across"))
-        b = dot("u", "own") + dot("u", "across") + F.col("d") * F.col("x")
-        systems.append(y.select("i", "u", "v", "w", "d", F.array(b).alias("b")))
+        rows = side.select("*", vtx[s].scalar().alias("own"), wtx[1 - s].scalar().alias("across"))
+        met = [dot(F.col("u"), F.col(y)[0], ranks[s]) for y in ("own", "across")]
+        b = met[0] + met[1] + F.col("d") * F.col("x")
+        systems.append(rows.select("i", "u", "v", "w", "d", F.array(b).alias("b")))
     return first_x(solve_two_ranks(tuple(systems), ranks, leaf=50), "i")
 
 

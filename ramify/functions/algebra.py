@@ -6,6 +6,7 @@ entry is zero, so identities and diagonals stay linear in size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +19,34 @@ from ramify.session import BROADCAST_BYTES
 TOLERANCE = 1e-10
 #: Array positions summed as separate aggregates; longer arrays are exploded.
 WIDE_SUMS = 128
-
-
-def array_sums(df: DataFrame, array: Column, weight: Column, width: int) -> DataFrame:
-    """One row ``s array``: the weighted sums of each array position (map-side combined)."""
-    if width <= WIDE_SUMS:
-        picked = df.select(array.alias("a"), weight.alias("w"))
-        sums = [F.coalesce(F.sum(F.col("a")[k] * F.col("w")), F.lit(0.0)) for k in range(width)]
-        return picked.agg(F.array(*sums).alias("s"))
-    entries = df.select(F.posexplode(array).alias("k", "a"), weight.alias("w"))
-    sums = entries.groupBy("k").agg(F.sum(F.col("a") * F.col("w")).alias("s"))
-    return sums.agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("s")).select(
-        F.transform("s", lambda e: e["s"]).alias("s")
-    )
+#: Inner products up to this length are written out term by term.
+SHORT_DOT = 16
+
+
+def array_sums(df: DataFrame, array: Column, weights: Sequence[Column], width: int) -> DataFrame:
+    """One row ``s array<array>``: for each weight, the weighted sums of the array positions.
+
+    All sums come from one scan and are combined before the shuffle.
+    """
+    names = [f"w{k}" for k in range(len(weights))]
+    picked = [w.cast("double").alias(n) for w, n in zip(weights, names)]
+    if width * len(weights) <= WIDE_SUMS:
+        rows = df.select(array.alias("a"), *picked)
+        sums = [
+            F.array(*[F.coalesce(F.sum(F.col("a")[k] * F.col(n)), F.lit(0.0)) for k in range(width)]) for n in names
+        ]
+        return rows.agg(F.array(*sums).alias("s"))
+    entries = df.select(F.posexplode(array).alias("k", "a"), *picked)
+    sums = entries.groupBy("k").agg(*[F.sum(F.col("a") * F.col(n)).alias(n) for n in names])
+    ordered = sums.agg(F.array_sort(F.collect_list(F.struct("k", *names))).alias("s"))
+    return ordered.select(F.array(*[F.col("s")[n] for n in names]).alias("s"))
+
+
+def dot(a: Column, b: Column, width: int) -> Column:
+    """Inner product of two array columns; short ones are written out for code generation."""
+    if width <= SHORT_DOT:
+        return reduce(Column.__add__, [a[k] * b[k] for k in range(width)])
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
 
 def _check(condition: bool, message: str) -> None:

@@ -19,10 +19,10 @@ SPREAD = 16
 HELD_TILES = 64
 
 
-def spread_keys(large: DataFrame, other: DataFrame, by: Column) -> tuple[DataFrame, DataFrame]:
+def spread_keys(large: DataFrame, other: DataFrame, by: Column, ways: int = SPREAD) -> tuple[DataFrame, DataFrame]:
     """Add a ``salt`` that splits each join key of ``large``; ``other`` is repeated for each."""
-    large = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))
+    large = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(ways)))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ways - 1).cast("bigint")))
     return large, other.withColumn("salt", copies)
 
 
@@ -90,7 +90,8 @@ def multiply_tiles(a, b) -> DataFrame:
     elif a.rows * a.cols * 12 <= BROADCAST_BYTES:
         pairs = right.join(F.broadcast(left), "bk")
     else:
-        left, right = spread_keys(left, right, F.col("bi"))
+        # An inner tile meets at most one left tile per row tile.
+        left, right = spread_keys(left, right, F.col("bi"), min(SPREAD, -(-a.rows // TILE)))
         pairs = left.join(right, ["bk", "salt"])
     pairs = pairs.select("bi", "bj", "a_at", "a_v", "b_at", "b_v")
     products = pairs.mapInArrow(_multiply, "i bigint, j bigint, v double")

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.functions.algebra import Matrix, Vector, array_sums
+from ramify.functions.algebra import Matrix, Vector, array_sums, dot
 from ramify.plans.tree import (
     Layout,
     apply_coefficients,
-    dot,
     merge_tree,
     push_down,
     solve_parts,
@@ -140,25 +139,26 @@ class Hodlr:
         layout = uniform_layout(self.keys[0], rows, level, launch_level)
         return self.solve(b, leaf=rows >> level, layout=layout)
 
+    def products(self, *xs: Column | str) -> DataFrame:
+        """The system with ``ax array``: ``U (V' x) + D x`` for each column ``x``.
+
+        ``V' x`` of all columns is one scan that ends in one row; ``U V'`` is never formed.
+        """
+        xs = [F.col(x) if isinstance(x, str) else x for x in xs]
+        y = array_sums(self.system, F.col("v"), xs, self.rank).scalar()
+        rows = self.system.withColumn("_y", y)
+        ax = [dot(F.col("u"), F.col("_y")[k], self.rank) + F.col("d") * x for k, x in enumerate(xs)]
+        return rows.withColumn("ax", F.array(*ax)).drop("_y")
+
     def matvec(self, x: Column | str) -> DataFrame:
-        """``U (V' x) + D x`` for a column ``x`` of the system; never forms ``U V'``."""
-        x = F.col(x) if isinstance(x, str) else x
-        y = array_sums(self.system, F.col("v"), x, self.rank)
-        rows = self.system.withColumn("_x", x).withColumn("_y", y.scalar())
-        return rows.select(*self.keys, (dot("u", "_y") + F.col("d") * F.col("_x")).alias("v"))
+        """``A x`` for a column ``x`` of the system."""
+        return self.products(x).select(*self.keys, F.col("ax")[0].alias("v"))
 
     def residual(self, x: Column | str, b: Column | str) -> DataFrame:
         """One row ``(residual, relative)`` of ``b - A x`` for columns of the system."""
-        x, b = (F.col(c) if isinstance(c, str) else c for c in (x, b))
-        y = array_sums(self.system, F.col("v"), x, self.rank)
-        rows = self.system.select(
-            "u", "d", x.alias("_x"), b.alias("_b"), y.scalar().alias("_y")
-        )
-        gap = F.col("_b") - (dot("u", "_y") + F.col("d") * F.col("_x"))
-        sums = rows.select(gap.alias("gap"), "_b").agg(
-            F.sum(F.col("gap") * F.col("gap")).alias("gap"),
-            F.sum(F.col("_b") * F.col("_b")).alias("base"),
-        )
+        b = F.col(b) if isinstance(b, str) else b
+        rows = self.products(x).select((b - F.col("ax")[0]).alias("gap"), b.alias("b"))
+        sums = rows.agg(F.sum(F.col("gap") * F.col("gap")).alias("gap"), F.sum(F.col("b") * F.col("b")).alias("base"))
         return sums.select(
             F.sqrt("gap").alias("residual"), F.sqrt(F.col("gap") / F.col("base")).alias("relative")
         )

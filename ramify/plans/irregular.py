@@ -53,7 +53,7 @@ def solve_two_ranks(
         vtu0, vtu1 = grams[0][:, nrhs:], grams[1][:, nrhs:]
         rhs = np.concatenate([grams[1][:, :nrhs], grams[0][:, :nrhs]])
         eta = solve(coupling(vtu0, vtu1), rhs, "the top node")
-        c = pa.array([eta[: r[0]].ravel().tolist(), eta[r[0] :].ravel().tolist()], pa.list_(pa.float64()))
+        c = pa.array([eta[: r[0]].T.ravel().tolist(), eta[r[0] :].T.ravel().tolist()], pa.list_(pa.float64()))
         return pa.table({"side": table.column("side"), "node": table.column("node"), "c": c})
 
     top = (

@@ -50,13 +50,13 @@ class LevelStorage:
         return self.blocks.to_matrix(col1=self.nrhs)
 
 
-def solve_by_levels(u: Matrix, v: Matrix, d: Vector, b: Matrix, level: int, launch_level: int | None = None) -> LevelStorage:
+def solve_by_levels(u: Matrix, v: Matrix, diag: Vector, b: Matrix, level: int, launch_level: int | None = None) -> LevelStorage:
     """Leaf solves, then one reduction, node solve and update per level up to the root."""
     top = level if launch_level is None else launch_level
     if not 0 <= top <= level:
         raise ValueError(f"launch level {top} is outside 0..{level}")
     part_rows, leaf = u.rows >> top, u.rows >> level
-    diagonal = Matrix(d.df.selectExpr("i", "0 as j", "v"), d.rows, 1)
+    diagonal = Matrix(diag.df.selectExpr("i", "0 as j", "v"), diag.rows, 1)
     ub, vb, db, bb = (RowBlocks.from_matrix(m, top, part_rows) for m in (u, v, diagonal, b))
     folder = RunFolder(u.df.sparkSession)
     vb = vb.cut(folder, "v")
@@ -64,9 +64,12 @@ def solve_by_levels(u: Matrix, v: Matrix, d: Vector, b: Matrix, level: int, laun
     for at in range(top - 1, -1, -1):
         storage = LevelStorage(w, b.cols, u.cols, top)
         sides = 2 << at
-        vtu = RowBlocks.gemm_red("t", "n", 1.0, vb, storage.u(at), sides, levels=2)
-        vtd = RowBlocks.gemm_red("t", "n", 1.0, vb, storage.d(at), sides, levels=2)
-        eta = RowBlocks.node_solve(vtu, vtd)
-        w = RowBlocks.gemm_bro("n", "n", -1.0, storage.u(at), eta, 1.0, storage.d(at))
+        d, u_at = storage.d(at), storage.u(at)
+        # d and u lie next to each other, so one reduction gives V'd and V'u.
+        vtw = RowBlocks.gemm_red("t", "n", 1.0, vb, w.window(0, d.cols + u_at.cols), sides, levels=2)
+        vtw = vtw.cut(folder, f"vtw{at}")
+        eta = RowBlocks.node_solve(vtw.window(d.cols, u_at.cols), vtw.window(0, d.cols))
+        eta = eta.window(0, d.cols)
+        w = RowBlocks.gemm_bro("n", "n", -1.0, u_at, eta, 1.0, d)
         w = w.window(0, w.width).cut(folder, f"w{at}")
     return LevelStorage(w, b.cols, u.cols, top)

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ramify.functions.algebra import dot
 from ramify.operators.kernels import dense_rows, list_column, solve_part, sweep
 from ramify.session import BROADCAST_BYTES, RunFolder
 
@@ -201,7 +202,7 @@ def merge_tree(parts: Parts, folder: RunFolder, name: str, keep_root: bool = Fal
 
 
 def push_down(stages: list[DataFrame], parts: Parts, root: DataFrame | None = None) -> DataFrame | None:
-    """Coefficients ``c`` (rank by nrhs, row-major) of each part, root first.
+    """Coefficients ``c`` of each part, root first: nrhs runs of rank numbers.
 
     ``root`` optionally gives the root's own coefficients as ``(node, c)`` with
     node 0; without it they are zero and a one-part tree needs none (``None``).
@@ -215,11 +216,10 @@ def push_down(stages: list[DataFrame], parts: Parts, root: DataFrame | None = No
             x = dense_rows(batch.column("x"), n).reshape(n, r, q)
             c = x[:, :, :nrhs]
             if "c" in batch.schema.names:
-                above = dense_rows(batch.column("c"), n).reshape(n, r, nrhs)
+                above = np.swapaxes(dense_rows(batch.column("c"), n).reshape(n, nrhs, r), 1, 2)
                 c = c + above - x[:, :, nrhs:] @ above
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), list_column(c.reshape(n, -1))], ["node", "c"]
-            )
+            c = np.swapaxes(c, 1, 2).reshape(n, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), list_column(c)], ["node", "c"])
 
     above = root
     for stage in reversed(stages):
@@ -247,16 +247,8 @@ def apply_coefficients(parts: Parts, coefficients: DataFrame | None) -> DataFram
     bound = parts.groups * parts.seqs * 8 * (parts.rank * nrhs + 2)
     if bound <= BROADCAST_BYTES:
         coefficients = F.broadcast(coefficients)
-    if nrhs == 1:
-        value = F.array(F.col("d")[0] - dot("u", "c"))
-    else:
-        columns = [
-            F.col("d")[k] - dot("u", f"filter(c, (e, at) -> at % {nrhs} = {k})") for k in range(nrhs)
-        ]
-        value = F.array(*columns)
-    return rows.join(coefficients, "node").select(*keys, value.alias("x"))
-
-
-def dot(a: str, b: str) -> Column:
-    """Inner product of two array columns, or of SQL expressions for them."""
-    return F.expr(f"aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0D, (s, p) -> s + p)")
+    per_rhs = [
+        F.slice("c", k * parts.rank + 1, parts.rank) if nrhs > 1 else F.col("c") for k in range(nrhs)
+    ]
+    x = F.array(*[F.col("d")[k] - dot(F.col("u"), c, parts.rank) for k, c in enumerate(per_rhs)])
+    return rows.join(coefficients, "node").select(*keys, x.alias("x"))

@@ -7,7 +7,6 @@ row by row from its own seed; part seeds are 31-bit draws from one given seed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +20,25 @@ from ramify.operators.kernels import lcg_states, list_column, uniform
 DRAWS = 1 << 17
 
 
-def part_seeds(spark: SparkSession, parts: int, seed: int) -> DataFrame:
-    """``(part, seed)``: one 31-bit seed per part; tasks jump to their place in the stream."""
+def part_seeds(spark: SparkSession, parts: int, **masters: int) -> DataFrame:
+    """``(part, <name> ...)``: one 31-bit seed per part and master seed.
+
+    Every task jumps to its place in the masters' streams.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             if not len(ids):
                 continue
-            states = lcg_states(seed, int(ids[0]), len(ids))
-            seeds = (states >> np.uint64(17)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(seeds)], ["part", "seed"])
+            columns = [batch.column("id")]
+            for master in masters.values():
+                states = lcg_states(master, int(ids[0]), len(ids))
+                columns.append(pa.array((states >> np.uint64(17)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["part", *masters])
 
-    return spark.range(parts).mapInArrow(draw, "part bigint, seed bigint")
+    schema = ", ".join(["part bigint", *[f"{name} bigint" for name in masters]])
+    return spark.range(parts).mapInArrow(draw, schema)
 
 
 def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0) -> DataFrame:
@@ -56,7 +61,7 @@ def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0) ->
 def random_matrix(spark: SparkSession, rows: int, cols: int, parts: int, seed: int, offset: int = 0) -> Matrix:
     if rows % parts:
         raise ValueError(f"{rows} rows do not split into {parts} parts")
-    frame = seeded_rows(part_seeds(spark, parts, seed), rows // parts, cols, offset)
+    frame = seeded_rows(part_seeds(spark, parts, seed=seed), rows // parts, cols, offset)
     m = Matrix.from_rows(frame, "i", "row", cols, rows)
     m.parts = parts
     return m
@@ -67,14 +72,11 @@ def random_vector(spark: SparkSession, rows: int, parts: int, seed: int, offset:
     return Vector(m._row_frame.select("i", F.col("row")[0].alias("v")), rows, parts, offset)
 
 
-def map_seeds(frames: dict[str, DataFrame], per_part: int) -> DataFrame:
-    """Seeds of several matrices lined up: ``(part, blk, <name>_seed ...)``."""
-    named = [df.withColumnRenamed("seed", f"{name}_seed") for name, df in frames.items()]
-    joined = reduce(lambda a, b: a.join(b, "part"), named)
-    return joined.select(
-        F.expr(f"part div {per_part}").alias("part"),
-        F.expr(f"cast(part % {per_part} as int)").alias("blk"),
-        *[f"{name}_seed" for name in frames],
+def map_seeds(seeds: DataFrame, per_part: int) -> DataFrame:
+    """Seeds of several matrices grouped ``per_part`` to a coarser part: ``(part, blk, <name> ...)``."""
+    names = [c for c in seeds.columns if c != "part"]
+    return seeds.select(
+        F.expr(f"part div {per_part}").alias("part"), F.expr(f"cast(part % {per_part} as int)").alias("blk"), *names
     )
 
 
@@ -84,7 +86,7 @@ def seeded_system(spark: SparkSession, leaf: int, level: int, rank: int, seed: i
     The four seeds of a leaf sit in one row, so the leaf's rows are made together and
     nothing is joined or shuffled.
     """
-    seeds = {n: part_seeds(spark, 1 << level, seed + k) for k, n in enumerate(("u", "v", "d", "b"))}
+    masters = {name: seed + k for k, name in enumerate(("u", "v", "d", "b"))}
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +94,10 @@ def seeded_system(spark: SparkSession, leaf: int, level: int, rank: int, seed: i
                 first = row["part"] * leaf
                 columns = [pa.array(np.arange(first, first + leaf, dtype=np.int64))]
                 for name in ("u", "v"):
-                    columns.append(list_column(uniform(row[f"{name}_seed"], 0, leaf * rank).reshape(leaf, rank)))
-                columns.append(pa.array(uniform(row["d_seed"], 0, leaf) + offset))
-                columns.append(pa.array(uniform(row["b_seed"], 0, leaf)))
+                    columns.append(list_column(uniform(row[name], 0, leaf * rank).reshape(leaf, rank)))
+                columns.append(pa.array(uniform(row["d"], 0, leaf) + offset))
+                columns.append(pa.array(uniform(row["b"], 0, leaf)))
                 yield pa.RecordBatch.from_arrays(columns, ["i", "u", "v", "d", "b"])
 
     schema = "i bigint, u array<double>, v array<double>, d double, b double"
-    return map_seeds(seeds, 1).mapInArrow(draw, schema)
+    return part_seeds(spark, 1 << level, **masters).mapInArrow(draw, schema)

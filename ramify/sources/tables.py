@@ -13,8 +13,9 @@ def read_spread(spark: SparkSession, folder: str, name: str, *columns: str) -> D
     """The columns of a table over at least one task per core.
 
     A table with fewer file splits than cores is redistributed; a large one has
-    plenty of splits and is read as it is.
+    plenty of splits and is read as it is.  Hashing every column keeps the exchange
+    the same for all uses of the table in one query, so Spark runs it once.
     """
     table = read_table(spark, folder, name).select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(cores, *columns) if table.rdd.getNumPartitions() < cores else table
