@@ -17,8 +17,8 @@ KNOWN = BASE + "SELECT i, x FROM X"
 
 def embedding_system(spark: SparkSession, folder: str, rank: int = 64) -> Hodlr:
     """``U = E``, ``V = E`` rolled by one row, ``D = 1000 + i % 7``, with ``b = A x``."""
-    table = read_table(spark, folder, "embeddings")
-    n = table.count()
+    table = read_spread(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    n = read_table(spark, folder, "embeddings").count()
     rows = table.select(
         F.col("vec_id").alias("i"),
         F.slice("embedding", 1, rank).alias("u"),

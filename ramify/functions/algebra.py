@@ -12,13 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.operators.products import multiply_tiles, spread_keys
+from ramify.operators.products import multiply_rows, multiply_tiles, spread_keys
 from ramify.session import BROADCAST_BYTES
 
 #: Fixed tolerance of ``==`` on vectors and matrices (absolute).
 TOLERANCE = 1e-10
 #: Array positions summed as separate aggregates; longer arrays are exploded.
 WIDE_SUMS = 128
+#: Vectors up to this length may be packed into one array.
+PACKED_ROWS = 4096
 #: Inner products up to this length are written out term by term.
 SHORT_DOT = 16
 
@@ -49,6 +51,16 @@ def dot(a: Column, b: Column, width: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
 
+def fits(rows: int, row_bytes: int) -> bool:
+    """Whether a frame of known length may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its known size allows it."""
+    return F.broadcast(df) if fits(rows, row_bytes) else df
+
+
 def _check(condition: bool, message: str) -> None:
     if not condition:
         raise ValueError(message)
@@ -108,17 +120,19 @@ class Vector:
 
     def multiply(self, other: Vector | Matrix) -> Vector | Matrix:
         """``diag(self) @ other``: entry-wise for a vector, row scaling for a matrix."""
-        _check(self.rows == other.rows, "row counts differ")
-        scale = self.df.withColumnRenamed("v", "s")
-        if self.rows * 16 <= BROADCAST_BYTES:
-            joined = other.df.join(F.broadcast(scale), "i")
-        elif isinstance(other, Matrix):
-            # One row may hold a third of all entries: split it over several keys.
-            entries, scale = spread_keys(other.df, scale, F.col("j"))
-            joined = entries.join(scale, ["i", "salt"])
-        else:
-            joined = other.df.join(scale, "i")
-        return other._like(joined.withColumn("v", F.col("v") * F.col("s")))
+        if isinstance(other, Matrix):
+            return other.scaled_rows(self)
+        _check(self.rows == other.rows, "vectors differ in length")
+        scale = small(self.df.withColumnRenamed("v", "s"), self.rows, 16)
+        return other._like(other.df.join(scale, "i").withColumn("v", F.col("v") * F.col("s")))
+
+    def packed(self) -> DataFrame:
+        """One row ``x array`` with zeros filled in; only for short vectors."""
+        _check(self.rows <= PACKED_ROWS, f"a vector of {self.rows} entries is too long to pack")
+        zeros = self.df.sparkSession.range(self.rows).select(F.col("id").alias("i"), F.lit(0.0).alias("v"))
+        cells = _sum_entries([(1.0, self.df), (1.0, zeros)], ["i"])
+        ordered = cells.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+        return ordered.select(F.col("x.v").alias("x"))
 
     def diagonal(self) -> Matrix:
         return Matrix(self.df.select("i", F.col("i").alias("j"), "v"), self.rows, self.rows)
@@ -152,8 +166,26 @@ class Vector:
 
 
 class Matrix:
-    def __init__(self, df: DataFrame, rows: int, cols: int, parts: int = 1, row_frame: DataFrame | None = None):
+    """Entries ``df``, and where known also whole rows ``(i, row array)`` or whole columns.
+
+    Dense operations use the whole rows: one record per row to scan, join and shuffle
+    instead of one per entry.  The transpose of a matrix with rows has columns.
+    """
+
+    def __init__(
+        self,
+        df: DataFrame | None,
+        rows: int,
+        cols: int,
+        parts: int = 1,
+        by_row: DataFrame | None = None,
+        by_col: DataFrame | None = None,
+    ):
         _check(rows > 0 and cols > 0, "a matrix needs at least one row and one column")
+        if df is None and by_row is not None:
+            df = by_row.select("i", F.posexplode("row").alias("j", "v"))
+        elif df is None:
+            df = by_col.select(F.posexplode("row").alias("i", "v"), F.col("i").alias("j"))
         self.df = df.select(
             F.col("i").cast("bigint").alias("i"),
             F.col("j").cast("bigint").alias("j"),
@@ -162,7 +194,8 @@ class Matrix:
         self.rows = rows
         self.cols = cols
         self.parts = parts
-        self._row_frame = row_frame
+        self.by_row = by_row
+        self.by_col = by_col
 
     @classmethod
     def from_rows(cls, df: DataFrame, index: str, row: Column | str, cols: int | None = None, rows: int | None = None):
@@ -170,8 +203,7 @@ class Matrix:
         row = F.col(row) if isinstance(row, str) else row
         frame = df.select(F.col(index).cast("bigint").alias("i"), row.cast("array<double>").alias("row"))
         cols = cols or frame.select(F.size("row").alias("n")).first()["n"]
-        entries = frame.select("i", F.posexplode("row").alias("j", "v"))
-        return cls(entries, rows or df.count(), cols, row_frame=frame)
+        return cls(None, rows or df.count(), cols, by_row=frame)
 
     @classmethod
     def from_entries(cls, df: DataFrame, i: str, j: str, value: Column | str, rows: int, cols: int):
@@ -185,19 +217,19 @@ class Matrix:
         frame = spark.range(rows).select(
             F.col("id").alias("i"), F.array_repeat(F.lit(float(value)), cols).alias("row")
         )
-        return cls.from_rows(frame, "i", "row", cols, rows)
+        return cls(None, rows, cols, by_row=frame)
 
     @classmethod
     def identity(cls, spark: SparkSession, n: int):
         return Vector.constant(spark, 1.0, n).diagonal()
 
-    def _like(self, df: DataFrame) -> Matrix:
-        return Matrix(df, self.rows, self.cols, self.parts)
+    def _like(self, df: DataFrame | None = None, by_row: DataFrame | None = None) -> Matrix:
+        return Matrix(df, self.rows, self.cols, self.parts, by_row=by_row)
 
     def row_frame(self) -> DataFrame:
-        """``(i, row array)`` with every stored row dense."""
-        if self._row_frame is not None:
-            return self._row_frame
+        """``(i, row array)``, each stored row dense."""
+        if self.by_row is not None:
+            return self.by_row
         cells = [F.coalesce(F.sum(F.when(F.col("j") == k, F.col("v"))), F.lit(0.0)) for k in range(self.cols)]
         return self.df.groupBy("i").agg(F.array(*cells).alias("row"))
 
@@ -208,25 +240,44 @@ class Matrix:
     def block(self, row0: int, row1: int, col0: int, col1: int) -> Matrix:
         """Half-open block, with indices starting at zero again."""
         _check(0 <= row0 < row1 <= self.rows and 0 <= col0 < col1 <= self.cols, "block is outside the matrix")
-        inside = F.col("i").between(row0, row1 - 1) & F.col("j").between(col0, col1 - 1)
-        df = self.df.where(inside).select((F.col("i") - row0).alias("i"), (F.col("j") - col0).alias("j"), "v")
-        return Matrix(df, row1 - row0, col1 - col0)
+        i = (F.col("i") - row0).alias("i")
+        in_rows = F.col("i").between(row0, row1 - 1)
+        if self.by_row is not None:
+            kept = F.slice("row", col0 + 1, col1 - col0).alias("row")
+            return Matrix(None, row1 - row0, col1 - col0, by_row=self.by_row.where(in_rows).select(i, kept))
+        df = self.df.where(in_rows & F.col("j").between(col0, col1 - 1))
+        return Matrix(df.select(i, (F.col("j") - col0).alias("j"), "v"), row1 - row0, col1 - col0)
 
     def row_block(self, row0: int, row1: int) -> Matrix:
         return self.block(row0, row1, 0, self.cols)
 
     def column(self, j: int) -> Vector:
         _check(0 <= j < self.cols, f"column {j} is outside the matrix")
+        if self.by_row is not None:
+            return Vector(self.by_row.select("i", F.col("row")[j].alias("v")), self.rows)
         return Vector(self.df.where(F.col("j") == j).select("i", "v"), self.rows)
 
     @property
     def T(self) -> Matrix:
-        return Matrix(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.cols, self.rows)
+        df = self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+        return Matrix(df, self.cols, self.rows, by_row=self.by_col, by_col=self.by_row)
+
+    def _paired_rows(self, other: Matrix) -> DataFrame:
+        """Rows of both matrices side by side; a row only one of them stores is zero in the other."""
+        zeros = F.array_repeat(F.lit(0.0), self.cols)
+        mine = self.by_row.withColumnRenamed("row", "a")
+        theirs = other.by_row.withColumnRenamed("row", "b")
+        pairs = mine.join(theirs, "i", "full_outer")
+        return pairs.select("i", F.coalesce("a", zeros).alias("a"), F.coalesce("b", zeros).alias("b"))
 
     def combine(self, alpha: float, other: Matrix, beta: float) -> Matrix:
         """``alpha * self + beta * other``."""
         _check((self.rows, self.cols) == (other.rows, other.cols), "matrices differ in shape")
-        return self._like(_sum_entries([(alpha, self.df), (beta, other.df)], ["i", "j"]))
+        if self.by_row is None or other.by_row is None:
+            return self._like(_sum_entries([(alpha, self.df), (beta, other.df)], ["i", "j"]))
+        a, b = F.lit(float(alpha)), F.lit(float(beta))
+        row = F.zip_with("a", "b", lambda x, y: a * x + b * y)
+        return self._like(by_row=self._paired_rows(other).select("i", row.alias("row")))
 
     def __add__(self, other: Matrix) -> Matrix:
         return self.combine(1.0, other, 1.0)
@@ -235,32 +286,71 @@ class Matrix:
         return self.combine(1.0, other, -1.0)
 
     def __rmul__(self, alpha: float) -> Matrix:
+        if self.by_row is not None:
+            scaled = F.transform("row", lambda x: F.lit(float(alpha)) * x)
+            return self._like(by_row=self.by_row.select("i", scaled.alias("row")))
         return self._like(self.df.withColumn("v", F.lit(float(alpha)) * F.col("v")))
 
+    def scaled_rows(self, d: Vector) -> Matrix:
+        """``diag(d) @ self``."""
+        _check(self.rows == d.rows, "row counts differ")
+        scale = d.df.withColumnRenamed("v", "s")
+        if self.by_row is not None:
+            joined = self.by_row.join(small(scale, d.rows, 16), "i")
+            row = F.transform("row", lambda x: F.col("s") * x)
+            return self._like(by_row=joined.select("i", row.alias("row")))
+        if fits(d.rows, 16):
+            joined = self.df.join(F.broadcast(scale), "i")
+        else:
+            # One row may hold a third of all entries: split it over several keys.
+            entries, scale = spread_keys(self.df, scale, F.col("j"))
+            joined = entries.join(scale, ["i", "salt"])
+        return self._like(joined.withColumn("v", F.col("v") * F.col("s")))
+
     def __mul__(self, other: Vector | Matrix) -> Vector | Matrix:
         _check(self.cols == other.rows, "inner dimensions differ")
         if isinstance(other, Vector):
-            return self._times_vector(other)
-        return Matrix(multiply_tiles(self, other), self.rows, other.cols)
-
-    def _times_vector(self, x: Vector) -> Vector:
+            return Vector(self._times_vector(other), self.rows)
+        whole = self.by_col is not None and other.by_row is not None
+        if whole and fits(self.rows * other.cols, 8):
+            df = multiply_rows(self.by_col, other.by_row)
+        else:
+            df = multiply_tiles(self, other)
+        return Matrix(df, self.rows, other.cols)
+
+    def _times_vector(self, x: Vector) -> DataFrame:
+        if self.by_row is not None and self.cols <= PACKED_ROWS:
+            # x becomes one array for all tasks: a map over the rows, no shuffle.
+            rows = self.by_row.withColumn("x", x.packed().scalar())
+            return rows.select("i", dot(F.col("row"), F.col("x"), self.cols).alias("v"))
         values = x.df.select(F.col("i").alias("j"), F.col("v").alias("x"))
-        if x.rows * 16 <= BROADCAST_BYTES:
+        if self.by_col is not None and self.rows <= PACKED_ROWS:
+            pairs = self.by_col.withColumnRenamed("i", "j").join(small(values, x.rows, 16), "j")
+            sums = array_sums(pairs, F.col("row"), [F.col("x")], self.rows)
+            return sums.select(F.posexplode(F.col("s")[0]).alias("i", "v"))
+        if fits(x.rows, 16):
             joined = self.df.join(F.broadcast(values), "j")
         else:
             # One column may hold a third of all entries: split it over several keys.
             entries, values = spread_keys(self.df, values, F.col("i"))
             joined = entries.join(values, ["j", "salt"])
-        products = joined.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-        return Vector(products, self.rows)
+        return joined.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
     def norm(self) -> DataFrame:
         """Frobenius norm as a one-row frame ``(norm)``."""
+        if self.by_row is not None:
+            return self.by_row.agg(F.sqrt(F.sum(dot(F.col("row"), F.col("row"), self.cols))).alias("norm"))
         return self.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
     def equals(self, other: Matrix) -> DataFrame:
+        """One row ``(equal)``; missing entries count as zero and NaN never compares equal."""
         _check((self.rows, self.cols) == (other.rows, other.cols), "matrices differ in shape")
-        return _max_gap(self.df, other.df, ["i", "j"]).select((F.col("gap") <= TOLERANCE).alias("equal"))
+        if self.by_row is None or other.by_row is None:
+            gap = _max_gap(self.df, other.df, ["i", "j"])
+        else:
+            row_gap = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
+            gap = self._paired_rows(other).agg(F.coalesce(F.max(row_gap), F.lit(0.0)).alias("gap"))
+        return gap.select((F.col("gap") <= TOLERANCE).alias("equal"))
 
     def __eq__(self, other: object) -> bool:
         return self.equals(other).first()["equal"] if isinstance(other, Matrix) else NotImplemented

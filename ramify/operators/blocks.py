@@ -139,8 +139,8 @@ class RowBlocks:
         cols = m.cols
         part = F.expr(f"i div {part_rows}")
         row0 = F.expr(f"i div {part_rows} * {part_rows} + i % {part_rows} div {block_rows} * {block_rows}")
-        if m._row_frame is not None:
-            entries = m._row_frame.select(part.alias("part"), row0.alias("row0"), "i", "row")
+        if m.by_row is not None:
+            entries = m.by_row.select(part.alias("part"), row0.alias("row0"), "i", "row")
         else:
             entries = m.df.select(part.alias("part"), row0.alias("row0"), "i", "j", "v")
         # One empty row per block, so that a block without entries still exists.
@@ -192,6 +192,18 @@ class RowBlocks:
         col1 = self.cols if col1 is None else col1
         return Matrix(self.entries(row0, row1, col0, col1), row1 - row0, col1 - col0)
 
+    def measure(self) -> DataFrame:
+        """One row with the stored shape, counted from the blocks themselves."""
+        sizes = self.df.groupBy("part").agg(
+            F.sum("nrow").alias("nrow"), F.max(F.expr("size(data) div nrow")).alias("width")
+        )
+        return sizes.agg(
+            F.sum("nrow").alias("rows"),
+            F.max("width").alias("width"),
+            F.count("*").alias("parts"),
+            F.max("nrow").alias("part_rows"),
+        )
+
     def to_vector(self) -> Vector:
         """The first column of the window."""
         return Vector(self.entries(col1=1).select("i", "v"), self.rows)

@@ -1,4 +1,4 @@
-"""Matrix products by square tiles of entries."""
+"""Matrix products over whole rows and over square tiles of entries."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ramify.operators.kernels import dense_rows
 from ramify.session import BROADCAST_BYTES
 
 #: Tile edge; a tile is at most 512 KiB dense.
@@ -96,3 +97,31 @@ def multiply_tiles(a, b) -> DataFrame:
     pairs = pairs.select("bi", "bj", "a_at", "a_v", "b_at", "b_v")
     products = pairs.mapInArrow(_multiply, "i bigint, j bigint, v double")
     return products.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def multiply_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Entries of ``L' R`` for two frames ``(i, row array)`` joined on ``i``.
+
+    The result has only (row length of L) x (row length of R) cells, so every task
+    keeps one running sum over its rows and hands out that alone.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                product = dense_rows(batch.column("a"), n).T @ dense_rows(batch.column("b"), n)
+                total = product if total is None else total + product
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"]
+            )
+
+    if left is right:
+        pairs = left.select(F.col("row").alias("a"), F.col("row").alias("b"))
+    else:
+        pairs = left.withColumnRenamed("row", "a").join(right.withColumnRenamed("row", "b"), "i").select("a", "b")
+    products = pairs.mapInArrow(partial, "i bigint, j bigint, v double")
+    return products.groupBy("i", "j").agg(F.sum("v").alias("v"))

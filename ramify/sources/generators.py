@@ -69,7 +69,7 @@ def random_matrix(spark: SparkSession, rows: int, cols: int, parts: int, seed: i
 
 def random_vector(spark: SparkSession, rows: int, parts: int, seed: int, offset: int = 0) -> Vector:
     m = random_matrix(spark, rows, 1, parts, seed, offset)
-    return Vector(m._row_frame.select("i", F.col("row")[0].alias("v")), rows, parts, offset)
+    return Vector(m.by_row.select("i", F.col("row")[0].alias("v")), rows, parts, offset)
 
 
 def map_seeds(seeds: DataFrame, per_part: int) -> DataFrame:
