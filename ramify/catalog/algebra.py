@@ -6,13 +6,10 @@ from pyspark.sql import functions as F
 
 from ramify.catalog.base import (
     BASE,
+    Known,
     balances,
-    diagonal,
-    embeddings,
     entries,
-    known_x,
     query,
-    rolled,
     rounded,
     spending,
     supply,
@@ -129,7 +126,7 @@ def vec_entry(spark, folder):
 
 @query("mat_entry", BASE + "SELECT i, j, v FROM E WHERE i = 11 AND j = 5")
 def mat_entry(spark, folder):
-    return embeddings(spark, folder).entry(11, 5)
+    return Known(spark, folder).u.entry(11, 5)
 
 
 @query(
@@ -137,19 +134,19 @@ def mat_entry(spark, folder):
     BASE + "SELECT i - n // 4 AS i, j - 8 AS j, v FROM E, N WHERE i >= n // 4 AND i < n // 2 AND j BETWEEN 8 AND 23",
 )
 def mat_block(spark, folder):
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     return e.block(e.rows // 4, e.rows // 2, 8, 24).df
 
 
 @query("mat_row_block", BASE + "SELECT i - n // 2 AS i, j, v FROM E, N WHERE i >= n // 2")
 def mat_row_block(spark, folder):
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     return e.row_block(e.rows // 2, e.rows).df
 
 
 @query("mat_transpose", BASE + "SELECT j AS i, i AS j, v FROM E")
 def mat_transpose(spark, folder):
-    return embeddings(spark, folder).T.df
+    return Known(spark, folder).u.T.df
 
 
 @query("vec_to_diag", "SELECT c_custkey AS i, c_custkey AS j, c_acctbal AS v FROM customer")
@@ -167,7 +164,7 @@ def vec_scale(spark, folder):
 
 @query("mat_scale", BASE + "SELECT i, j, round(-0.5::DOUBLE * v, 6) + 0.0 AS v FROM E")
 def mat_scale(spark, folder):
-    return entries(-0.5 * embeddings(spark, folder))
+    return entries(-0.5 * Known(spark, folder).u)
 
 
 @query(
@@ -190,12 +187,14 @@ def vec_sub(spark, folder):
 
 @query("mat_add", BASE + "SELECT i, j, round(E.v + V.v, 6) + 0.0 AS v FROM E JOIN V USING (i, j)")
 def mat_add(spark, folder):
-    return entries(embeddings(spark, folder) + rolled(spark, folder))
+    known = Known(spark, folder)
+    return entries(known.u + known.v)
 
 
 @query("mat_sub", BASE + "SELECT i, j, round(E.v - V.v, 6) + 0.0 AS v FROM E JOIN V USING (i, j)")
 def mat_sub(spark, folder):
-    return entries(embeddings(spark, folder) - rolled(spark, folder))
+    known = Known(spark, folder)
+    return entries(known.u - known.v)
 
 
 @query("sparse_mat_axpby", f"SELECT i, j, round(2.0::DOUBLE * v - 0.5::DOUBLE * w, 6) + 0.0 AS v FROM ({SUPPLY})")
@@ -217,7 +216,8 @@ def vec_hadamard(spark, folder):
 
 @query("diag_times_matrix", BASE + "SELECT i, j, round(d * v, 6) + 0.0 AS v FROM E JOIN X USING (i)")
 def diag_times_matrix(spark, folder):
-    return entries(diagonal(spark, folder).multiply(embeddings(spark, folder)))
+    known = Known(spark, folder)
+    return entries(known.d.multiply(known.u))
 
 
 @query(
@@ -240,7 +240,7 @@ def vec_equal_tol(spark, folder):
 
 @query("mat_equal_tol", BASE + "SELECT max(abs(a.v - (2 * a.v - b.v))) <= 1e-10 AS equal FROM E a JOIN E b USING (i, j)")
 def mat_equal_tol(spark, folder):
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     return e.equals(2 * e - e)
 
 
@@ -254,19 +254,20 @@ def vec_norm2(spark, folder):
 
 @query("mat_frobenius", BASE + "SELECT round(sqrt(sum(v * v)), 6) AS norm FROM E")
 def mat_frobenius(spark, folder):
-    return embeddings(spark, folder).norm().select(F.round("norm", 6).alias("norm"))
+    return Known(spark, folder).u.norm().select(F.round("norm", 6).alias("norm"))
 
 
 @query("mat_vec", BASE + "SELECT E.i, round(sum(v * (1 + j)), 6) + 0.0 AS v FROM E GROUP BY E.i")
 def mat_vec(spark, folder):
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     steps = spark.range(e.cols).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v"))
     return values(e * Vector(steps, e.cols))
 
 
 @query("mat_t_vec", BASE + "SELECT j AS i, round(sum(v * x), 6) + 0.0 AS v FROM E JOIN X USING (i) GROUP BY j")
 def mat_t_vec(spark, folder):
-    return values(embeddings(spark, folder).T * known_x(spark, folder))
+    known = Known(spark, folder)
+    return values(known.u.T * known.x)
 
 
 @query(
@@ -283,7 +284,7 @@ def sparse_mat_vec(spark, folder):
     BASE + "SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM E a JOIN E b USING (i) GROUP BY ALL",
 )
 def mat_mat_gram(spark, folder):
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     return entries(e.T * e)
 
 
@@ -293,7 +294,7 @@ def mat_mat_gram(spark, folder):
 )
 def mat_mat_tall(spark, folder):
     """All embedding rows times a 64-by-16 matrix made of the first sixteen rows."""
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     return entries(e * e.row_block(0, 16).T)
 
 
@@ -315,14 +316,16 @@ b AS (SELECT E.i, sum(E.v * y.y) + any_value(X.d * X.x) AS v FROM E JOIN y USING
 @query("low_rank_matvec", BASE + LOW_RANK + "SELECT i, round(v, 6) + 0.0 AS v FROM b")
 def low_rank_matvec(spark, folder):
     """``U (V' x) + D x`` entry-wise, always from the right."""
-    u, v, d, x = (f(spark, folder) for f in (embeddings, rolled, diagonal, known_x))
+    known = Known(spark, folder)
+    u, v, d, x = known.u, known.v, known.d, known.x
     return values(u * (v.T * x) + d.multiply(x))
 
 
 @query("system_matvec", BASE + LOW_RANK + "SELECT i, round(v, 6) + 0.0 AS v FROM b")
 def system_matvec(spark, folder):
     """The same product on row frames: one scan for ``V' x``, one for the rows."""
-    u, v, d, x = (f(spark, folder) for f in (embeddings, rolled, diagonal, known_x))
+    known = Known(spark, folder)
+    u, v, d, x = known.u, known.v, known.d, known.x
     system = Hodlr.from_matrices(u, v, d)
     system.system = system.system.join(x.df.withColumnRenamed("v", "x"), "i")
     return system.matvec("x").select("i", rounded("v").alias("v"))

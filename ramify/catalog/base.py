@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,23 +58,38 @@ def values(x: Vector, digits: int = 6) -> DataFrame:
     return x.df.select("i", rounded("v", digits).alias("v"))
 
 
-def embeddings(spark: SparkSession, folder: str) -> Matrix:
-    return Matrix.from_rows(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
+class Known:
+    """A system with a known solution, made of the embedding table.
 
+    U is the embedding rows, V the same rows rolled down by one, d the diagonal and
+    x the solution.  The table is opened and counted once for all of them.
+    """
 
-def rolled(spark: SparkSession, folder: str) -> Matrix:
-    table = read_table(spark, folder, "embeddings")
-    n = table.count()
-    return Matrix.from_rows(table.withColumn("to", (F.col("vec_id") + 1) % n), "to", "embedding", rows=n)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = read_table(spark, folder, "embeddings")
+        self.n = self.table.count()
 
+    @cached_property
+    def rank(self) -> int:
+        return self.table.select(F.size("embedding").alias("r")).first()["r"]
 
-def known_x(spark: SparkSession, folder: str) -> Vector:
-    return Vector.from_column(read_table(spark, folder, "embeddings"), "vec_id", F.col("label") + 1.0)
+    @cached_property
+    def u(self) -> Matrix:
+        return Matrix.from_rows(self.table, "vec_id", "embedding", self.rank, self.n)
 
+    @cached_property
+    def v(self) -> Matrix:
+        moved = self.table.withColumn("to", (F.col("vec_id") + 1) % self.n)
+        return Matrix.from_rows(moved, "to", "embedding", self.rank, self.n)
 
-def diagonal(spark: SparkSession, folder: str) -> Vector:
-    table = read_table(spark, folder, "embeddings")
-    return Vector.from_column(table, "vec_id", (F.lit(1000) + F.col("vec_id") % 7).cast("double"))
+    @cached_property
+    def d(self) -> Vector:
+        value = (F.lit(1000) + F.col("vec_id") % 7).cast("double")
+        return Vector.from_column(self.table, "vec_id", value, self.n)
+
+    @cached_property
+    def x(self) -> Vector:
+        return Vector.from_column(self.table, "vec_id", F.col("label") + 1.0, self.n)
 
 
 def balances(spark: SparkSession, folder: str) -> Vector:

@@ -6,14 +6,11 @@ from pyspark.sql import functions as F
 
 from ramify.catalog.base import (
     BASE,
+    Known,
     column_matrix,
-    diagonal,
-    embeddings,
     entries,
-    known_x,
     quarters,
     query,
-    rolled,
     rounded,
 )
 from ramify.functions.algebra import Matrix, Vector
@@ -43,12 +40,12 @@ def by_part(blocks: RowBlocks, part: str = "part", digits: int = 6):
 
 @query("blocks_to_matrix", BASE + "SELECT i, j, v FROM E")
 def blocks_to_matrix(spark, folder):
-    return quarters(embeddings(spark, folder)).to_matrix().df
+    return quarters(Known(spark, folder).u).to_matrix().df
 
 
 @query("blocks_to_columns", BASE + "SELECT i, j - 8 AS j, v FROM E WHERE j BETWEEN 8 AND 23")
 def blocks_to_columns(spark, folder):
-    return quarters(embeddings(spark, folder)).to_matrix(col0=8, col1=24).df
+    return quarters(Known(spark, folder).u).to_matrix(col0=8, col1=24).df
 
 
 @query(
@@ -56,18 +53,18 @@ def blocks_to_columns(spark, folder):
     BASE + "SELECT i - n // 3 AS i, j - 8 AS j, v FROM E, N WHERE i >= n // 3 AND i < n // 2 AND j BETWEEN 8 AND 23",
 )
 def blocks_to_range(spark, folder):
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     return quarters(e).to_matrix(e.rows // 3, e.rows // 2, 8, 24).df
 
 
 @query("blocks_to_vector", BASE + "SELECT i, v FROM E WHERE j = 5")
 def blocks_to_vector(spark, folder):
-    return quarters(embeddings(spark, folder)).window(5, 1).to_vector().df
+    return quarters(Known(spark, folder).u).window(5, 1).to_vector().df
 
 
 @query("column_window", BASE + "SELECT i, j - 16 AS j, v FROM E WHERE j BETWEEN 16 AND 31")
 def column_window(spark, folder):
-    return quarters(embeddings(spark, folder)).window(16, 16).to_matrix().df
+    return quarters(Known(spark, folder).u).window(16, 16).to_matrix().df
 
 
 @query(
@@ -75,7 +72,7 @@ def column_window(spark, folder):
     "SELECT count(*) AS rows, max(len(embedding)) AS width, 4::BIGINT AS parts, count(*) // 4 AS part_rows FROM embeddings",
 )
 def matrix_shape(spark, folder):
-    return quarters(embeddings(spark, folder)).measure()
+    return quarters(Known(spark, folder).u).measure()
 
 
 @query(
@@ -83,7 +80,7 @@ def matrix_shape(spark, folder):
     BASE + "SELECT i // (n // 4) AS part, min(i) AS row0, count(*) AS nrow FROM X, N GROUP BY 1",
 )
 def partition_rows(spark, folder):
-    return quarters(embeddings(spark, folder)).colors()
+    return quarters(Known(spark, folder).u).colors()
 
 
 @query(
@@ -91,7 +88,7 @@ def partition_rows(spark, folder):
     BASE + "SELECT i // (n // 4) // 2 AS node, i // (n // 4) % 2 AS side, min(i) AS row0, count(*) AS nrow FROM X, N GROUP BY 1, 2",
 )
 def two_level_partition(spark, folder):
-    halves = RowBlocks.from_matrix(embeddings(spark, folder), 1, block_rows=25)
+    halves = RowBlocks.from_matrix(Known(spark, folder).u, 1, block_rows=25)
     return halves.two_level_partition().colors()
 
 
@@ -115,8 +112,9 @@ def irregular_parts(spark, folder):
 )
 def utree_tile_columns(spark, folder):
     """``[rhs | u | u | u]`` for three levels."""
-    rhs = column_matrix(known_x(spark, folder))
-    return LevelStorage.init(embeddings(spark, folder), rhs, 3, 2).blocks.to_matrix().df
+    known = Known(spark, folder)
+    rhs = column_matrix(known.x)
+    return LevelStorage.init(known.u, rhs, 3, 2).blocks.to_matrix().df
 
 
 @query(
@@ -127,8 +125,9 @@ UNION ALL SELECT 'd', i, 1 + j, v FROM E""",
 )
 def utree_level_windows(spark, folder):
     """The windows of level 1: its own u, and d with the right-hand side and the root's u."""
-    rhs = column_matrix(known_x(spark, folder))
-    storage = LevelStorage.init(embeddings(spark, folder), rhs, 3, 2)
+    known = Known(spark, folder)
+    rhs = column_matrix(known.x)
+    storage = LevelStorage.init(known.u, rhs, 3, 2)
     u, d = storage.u(1).to_matrix().df, storage.d(1).to_matrix().df
     return u.select(F.lit("u").alias("side"), "*").unionByName(d.select(F.lit("d").alias("side"), "*"))
 
@@ -139,13 +138,13 @@ def utree_level_windows(spark, folder):
 @query("blocks_scale", BASE + "SELECT i, j, round(CASE WHEN j BETWEEN 8 AND 23 THEN 3.0 * v ELSE v END, 6) + 0.0 AS v FROM E")
 def blocks_scale(spark, folder):
     """Scale a column window; the other columns of the storage stay."""
-    b = quarters(embeddings(spark, folder)).window(8, 16).scale(3.0)
+    b = quarters(Known(spark, folder).u).window(8, 16).scale(3.0)
     return shown(b.window(0, 64))
 
 
 @query("mat_clear", BASE + "SELECT i, j, CASE WHEN j BETWEEN 8 AND 23 THEN 1.5 ELSE v END::DOUBLE AS v FROM E")
 def mat_clear(spark, folder):
-    return quarters(embeddings(spark, folder)).window(8, 16).clear(1.5).window(0, 64).to_matrix().df
+    return quarters(Known(spark, folder).u).window(8, 16).clear(1.5).window(0, 64).to_matrix().df
 
 
 @query(
@@ -153,7 +152,8 @@ def mat_clear(spark, folder):
     BASE + "SELECT i, j, round(2.0::DOUBLE * E.v - 0.5::DOUBLE * V.v, 6) + 0.0 AS v FROM E JOIN V USING (i, j)",
 )
 def mat_axpby(spark, folder):
-    u, v = quarters(embeddings(spark, folder)), quarters(rolled(spark, folder))
+    known = Known(spark, folder)
+    u, v = quarters(known.u), quarters(known.v)
     return shown(RowBlocks.add(2.0, u, -0.5, v))
 
 
@@ -168,7 +168,8 @@ round(sum(E.v * V.v) + CASE WHEN E.i = V.i THEN any_value(X.d) ELSE 0.0 END, 6)
 FROM E CROSS JOIN N JOIN V ON E.j = V.j AND E.i // (n // 4) = V.i // (n // 4) JOIN X ON X.i = E.i GROUP BY E.i, V.i, n""",
 )
 def dense_blocks(spark, folder):
-    u, v, d = embeddings(spark, folder), rolled(spark, folder), column_matrix(diagonal(spark, folder))
+    known = Known(spark, folder)
+    u, v, d = known.u, known.v, column_matrix(known.d)
     size = u.rows // 4
     k = RowBlocks.dense_blocks(*(RowBlocks.from_matrix(m, 2, size) for m in (u, v, d)))
     return k.entries().select(
@@ -182,7 +183,8 @@ FROM V JOIN E USING (i), N GROUP BY 1, 2, 3"""
 
 @query("gemm_reduce", GEMM_RED.format(color=2))
 def gemm_reduce(spark, folder):
-    v, u = quarters(rolled(spark, folder)), quarters(embeddings(spark, folder))
+    known = Known(spark, folder)
+    v, u = quarters(known.v), quarters(known.u)
     return by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=2), "node")
 
 
@@ -193,7 +195,8 @@ def gemm_reduce(spark, folder):
 round(sum(V.v * E.v), 6) + 0.0 AS v FROM V JOIN E USING (i), N GROUP BY 1, 2, 3, 4""",
 )
 def gemm_reduce_two_level(spark, folder):
-    v, u = quarters(rolled(spark, folder)), quarters(embeddings(spark, folder))
+    known = Known(spark, folder)
+    v, u = quarters(known.v), quarters(known.u)
     w = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4, levels=2))
     return w.select(F.expr("part div 2").alias("node"), F.expr("part % 2").alias("side"), "i", "j", "v")
 
@@ -206,7 +209,8 @@ SELECT l AS level, part >> (2 - l) AS node, i, j, round(sum(v), 6) + 0.0 AS v FR
 )
 def spmd_level_sum(spark, folder):
     """Part sums combined into the nodes of each coarser level."""
-    v, u = quarters(rolled(spark, folder)), quarters(embeddings(spark, folder))
+    known = Known(spark, folder)
+    v, u = quarters(known.v), quarters(known.u)
     part = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4), digits=15)
     level = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
     sums = part.withColumn("level", level).groupBy(
@@ -217,7 +221,8 @@ def spmd_level_sum(spark, folder):
 
 @query("gemm_single", GEMM_RED.format(color=4).replace("AS node", "AS part").replace("// 4 AS", "* 0 AS"))
 def gemm_single(spark, folder):
-    v, u = quarters(rolled(spark, folder)), quarters(embeddings(spark, folder))
+    known = Known(spark, folder)
+    v, u = quarters(known.v), quarters(known.u)
     return by_part(RowBlocks.gemm("t", "n", 1.0, v, u))
 
 
@@ -229,7 +234,8 @@ SELECT i, j, round(2.0::DOUBLE * P.v - 0.5::DOUBLE * E.v, 6) + 0.0 AS v FROM P J
 )
 def gemm_alpha_beta(spark, folder):
     """``2 V'U - 0.5 C`` with C the leading square block of E."""
-    u, v = embeddings(spark, folder), rolled(spark, folder)
+    known = Known(spark, folder)
+    u, v = known.u, known.v
     product = RowBlocks.gemm("t", "n", 1.0, quarters(v), quarters(u))
     c = RowBlocks.from_matrix(u.row_block(0, u.cols), 0, product.block_rows)
     return shown(RowBlocks.add(2.0, product, -0.5, c))
@@ -243,7 +249,7 @@ SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM P a JOIN P b
 )
 def gemm_transposed(spark, folder):
     """Sum over the parts of ``E_p E_p'``."""
-    e = embeddings(spark, folder)
+    e = Known(spark, folder).u
     b = RowBlocks.from_matrix(e, 2, e.rows // 4)
     return shown(RowBlocks.gemm_red("n", "t", 1.0, b, b))
 
@@ -258,7 +264,8 @@ GROUP BY 1, 2)
 @query("gemm_broadcast", BASE + GROUPED.format(color=2) + "SELECT i, j - 16 AS j, round(p, 6) + 0.0 AS v FROM P")
 def gemm_broadcast(spark, folder):
     """``W_p = U_p B_node(p)`` into separate storage."""
-    u, v = quarters(embeddings(spark, folder)), quarters(rolled(spark, folder))
+    known = Known(spark, folder)
+    u, v = quarters(known.u), quarters(known.v)
     b = RowBlocks.gemm_red("t", "n", 1.0, v.window(0, 16), u.window(16, 16), parts=2)
     w = RowBlocks.zeros(spark, u.rows, 16, 2, u.block_rows)
     return shown(RowBlocks.gemm_bro("n", "n", 1.0, u.window(0, 16), b, 0.0, w))
@@ -272,7 +279,8 @@ def gemm_broadcast(spark, folder):
 )
 def gemm_inplace(spark, folder):
     """``C -= A B`` with A and C windows of one storage."""
-    u, v = quarters(embeddings(spark, folder)), quarters(rolled(spark, folder))
+    known = Known(spark, folder)
+    u, v = quarters(known.u), quarters(known.v)
     b = RowBlocks.gemm("t", "n", 1.0, v.window(0, 16), u.window(16, 16))
     c = RowBlocks.gemm_inplace(-1.0, u.window(0, 16), b, u.window(16, 16))
     return shown(c.window(0, 64))
@@ -284,8 +292,9 @@ def gemm_inplace(spark, folder):
 @query("dense_lu_solve", BASE + "SELECT i, x FROM X")
 def dense_lu_solve(spark, folder):
     """One dense solve per part; b is made from the known x part by part."""
-    u, v, d = embeddings(spark, folder), rolled(spark, folder), column_matrix(diagonal(spark, folder))
-    x = column_matrix(known_x(spark, folder))
+    known = Known(spark, folder)
+    u, v, d = known.u, known.v, column_matrix(known.d)
+    x = column_matrix(known.x)
     size = u.rows // 4
     ub, vb, db, xb = (RowBlocks.from_matrix(m, 2, size) for m in (u, v, d, x))
     k = RowBlocks.dense_blocks(ub, vb, db)
@@ -299,12 +308,13 @@ def dense_lu_solve(spark, folder):
 )
 def part_solve(spark, folder):
     """Two levels merged inside each of two parts, with b made from the known x per part."""
-    u, v, d = embeddings(spark, folder), rolled(spark, folder), column_matrix(diagonal(spark, folder))
-    x = column_matrix(known_x(spark, folder))
+    known = Known(spark, folder)
+    u, v, d = known.u, known.v, column_matrix(known.d)
+    x = column_matrix(known.x)
     size = u.rows // 2
     ub, vb, db, xb = (RowBlocks.from_matrix(m, 1, size) for m in (u, v, d, x))
     vtx = RowBlocks.gemm_red("t", "n", 1.0, vb, xb, parts=2)
-    dx = Matrix(diagonal(spark, folder).multiply(known_x(spark, folder)).diagonal().df.selectExpr("i", "0 as j", "v"), u.rows, 1)
+    dx = Matrix(known.d.multiply(known.x).diagonal().df.selectExpr("i", "0 as j", "v"), u.rows, 1)
     b = RowBlocks.gemm_bro("n", "n", 1.0, ub, vtx, 1.0, RowBlocks.from_matrix(dx, 1, size))
     w = RowBlocks.part_solve(ub, vb, db, b, leaf=size // 2)
     return w.window(0, 1).to_vector().df.select("i", rounded("v").alias("x"))
@@ -321,8 +331,9 @@ FROM m a JOIN m b ON a.node = b.node AND a.side = 0 AND b.side = 1"""
 @query("node_solve_2x2", RANK_ONE)
 def node_solve_rank_one(spark, folder):
     """Rank one, where Cramer's rule gives the answer in SQL."""
-    u = quarters((1 / 1000) * embeddings(spark, folder).block(0, embeddings(spark, folder).rows, 0, 1))
-    v, x = quarters(rolled(spark, folder).block(0, u.rows, 0, 1)), quarters(column_matrix(known_x(spark, folder)))
+    known = Known(spark, folder)
+    u = quarters((1 / 1000) * known.u.block(0, known.u.rows, 0, 1))
+    v, x = quarters(known.v.block(0, u.rows, 0, 1)), quarters(column_matrix(known.x))
     vtu = RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4, levels=2)
     vtd = RowBlocks.gemm_red("t", "n", 1.0, v, x, parts=4, levels=2)
     eta = RowBlocks.node_solve(vtu, vtd).to_vector().df
@@ -337,7 +348,8 @@ KNOWN_ETA = "SELECT node, side, k, (1 + node * 2 + side + k % 5)::DOUBLE AS eta
 @query("node_solve", KNOWN_ETA)
 def node_solve_known(spark, folder):
     """Full rank with a known eta: V'd is put together from V'u and eta, then solved back."""
-    u, v = embeddings(spark, folder), rolled(spark, folder)
+    known = Known(spark, folder)
+    u, v = known.u, known.v
     r = u.cols
     vtu = RowBlocks.gemm_red("t", "n", 0.001, quarters(v), quarters(u), parts=4, levels=2)
     eta = spark.range(4 * r).select(
@@ -362,7 +374,8 @@ def node_solve_known(spark, folder):
 )
 def node_solve_two_ranks(spark, folder):
     """Ranks 16 and 32 with a known eta."""
-    u, v = embeddings(spark, folder), rolled(spark, folder)
+    known = Known(spark, folder)
+    u, v = known.u, known.v
     ub, vb = RowBlocks.from_matrix(u, 1), RowBlocks.from_matrix(v, 1)
     frames = []
     for side, (own, other) in enumerate(((16, 32), (32, 16))):

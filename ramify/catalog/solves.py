@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.catalog.base import BASE, column_matrix, diagonal, embeddings, known_x, query, rolled, rounded
+from ramify.catalog.base import BASE, Known, column_matrix, query, rounded
 from ramify.functions.algebra import array_sums, dot
 from ramify.plans.hodlr import Hodlr, heavy_layout
 from ramify.plans.irregular import solve_two_ranks
@@ -63,8 +63,8 @@ query("hodlr_solve_L2_launch1", KNOWN)(_levels(2, 1))
 @query("hodlr_by_levels", KNOWN)
 def hodlr_by_levels(spark, folder):
     """The same solve written out with reductions, node solves and updates."""
-    u, v, d = (f(spark, folder) for f in (embeddings, rolled, diagonal))
-    x = known_x(spark, folder)
+    known = Known(spark, folder)
+    u, v, d, x = known.u, known.v, known.d, known.x
     b = u * (v.T * x) + d.multiply(x)
     solved = solve_by_levels(u, v, d, column_matrix(b), 2).solution()
     return solved.df.select("i", rounded("v").alias("x"))
@@ -72,8 +72,8 @@ def hodlr_by_levels(spark, folder):
 
 @query("hodlr_from_matrices", KNOWN)
 def hodlr_from_matrices(spark, folder):
-    u, v, d = (f(spark, folder) for f in (embeddings, rolled, diagonal))
-    x = known_x(spark, folder)
+    known = Known(spark, folder)
+    u, v, d, x = known.u, known.v, known.d, known.x
     b = u * (v.T * x) + d.multiply(x)
     solved = Hodlr.from_matrices(u, v, d).solve(b.df.withColumnRenamed("v", "b"), leaf=125)
     return first_x(solved, "i")

@@ -17,8 +17,8 @@ from ramify.session import BROADCAST_BYTES
 
 #: Fixed tolerance of ``==`` on vectors and matrices (absolute).
 TOLERANCE = 1e-10
-#: Array positions summed as separate aggregates; longer arrays are exploded.
-WIDE_SUMS = 128
+#: Up to this many sums are separate aggregates; longer arrays are exploded.
+WIDE_SUMS = 16
 #: Vectors up to this length may be packed into one array.
 PACKED_ROWS = 4096
 #: Inner products up to this length are written out term by term.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.operators.kernels import dense_rows
+from ramify.operators.kernels import dense_rows, list_column
 from ramify.session import BROADCAST_BYTES
 
 #: Tile edge; a tile is at most 512 KiB dense.
@@ -27,19 +27,19 @@ def spread_keys(large: DataFrame, other: DataFrame, by: Column, ways: int = SPRE
     return large, other.withColumn("salt", copies)
 
 
-def _tiles(entries: DataFrame, i: str, j: str, outer: str, inner: str, prefix: str) -> DataFrame:
-    """Group entries by tile; a tile has at most ``TILE**2`` cells whatever the data."""
+def _tiles(entries: DataFrame, outer: str, inner: str, prefix: str) -> DataFrame:
+    """Group entries by tile; a tile has at most ``TILE**2`` cells whatever the data.
+
+    ``outer`` and ``inner`` name the index that stays and the one summed over.
+    """
     cell = F.struct(
-        F.expr(f"cast(({i} % {TILE}) * {TILE} + {j} % {TILE} as int)").alias("at"), F.col("v").alias("v")
+        F.expr(f"cast(i % {TILE} * {TILE} + j % {TILE} as int)").alias("at"), F.col("v").alias("v")
     )
     grouped = entries.groupBy(
-        F.expr(f"{i} div {TILE}").alias(outer), F.expr(f"{j} div {TILE}").alias(inner)
+        F.expr(f"{outer} div {TILE}").alias(f"b{outer}"), F.expr(f"{inner} div {TILE}").alias("bk")
     ).agg(F.collect_list(cell).alias("cells"))
     return grouped.select(
-        outer,
-        inner,
-        F.col("cells.at").alias(f"{prefix}_at"),
-        F.col("cells.v").alias(f"{prefix}_v"),
+        f"b{outer}", "bk", F.col("cells.at").alias(f"{prefix}_at"), F.col("cells.v").alias(f"{prefix}_v")
     )
 
 
@@ -53,15 +53,19 @@ def _dense(at: pa.ListArray, values: pa.ListArray) -> Iterator[np.ndarray]:
 
 
 def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Multiply joined tile pairs and add up results for the same output tile."""
+    """Multiply joined tile pairs, add up results per output tile, emit their non-zero rows."""
     held: dict[tuple[int, int], np.ndarray] = {}
 
     def emit() -> Iterator[pa.RecordBatch]:
         for (bi, bj), tile in held.items():
-            i, j = np.nonzero(tile)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bi * TILE + i), pa.array(bj * TILE + j), pa.array(tile[i, j])], ["i", "j", "v"]
-            )
+            rows = np.flatnonzero(tile.any(axis=1))
+            width = np.flatnonzero(tile.any(axis=0))[-1:].sum() + 1
+            columns = [
+                pa.array(bi * TILE + rows),
+                pa.array(np.full(len(rows), bj, np.int64)),
+                list_column(tile[rows, :width]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["i", "bj", "run"])
         held.clear()
 
     for batch in batches:
@@ -80,12 +84,11 @@ def multiply_tiles(a, b) -> DataFrame:
 
     Tiles meet on the inner index.  A small factor (its size follows from its shape)
     is broadcast; otherwise the inner tile is split over several keys, as a tall
-    factor may have only a few inner tiles.  Results are added inside the task first.
+    factor may have only a few inner tiles.  Results are added inside the task first
+    and cross the shuffle as runs of up to ``TILE`` numbers, summed behind it.
     """
-    left = _tiles(a.df, "i", "j", "bi", "bk", "a")
-    right = _tiles(b.df, "j", "i", "bj", "bk", "b").select("bk", "bj", "b_at", "b_v")
-    # The right tile is stored with its row inside the tile first, as the left one is.
-    right = right.withColumn("b_at", F.transform("b_at", lambda e: (e % TILE) * TILE + F.floor(e / TILE).cast("int")))
+    left = _tiles(a.df, "i", "j", "a")
+    right = _tiles(b.df, "j", "i", "b")
     if b.rows * b.cols * 12 <= BROADCAST_BYTES:
         pairs = left.join(F.broadcast(right), "bk")
     elif a.rows * a.cols * 12 <= BROADCAST_BYTES:
@@ -95,8 +98,10 @@ def multiply_tiles(a, b) -> DataFrame:
         left, right = spread_keys(left, right, F.col("bi"), min(SPREAD, -(-a.rows // TILE)))
         pairs = left.join(right, ["bk", "salt"])
     pairs = pairs.select("bi", "bj", "a_at", "a_v", "b_at", "b_v")
-    products = pairs.mapInArrow(_multiply, "i bigint, j bigint, v double")
-    return products.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    runs = pairs.mapInArrow(_multiply, "i bigint, bj bigint, run array<double>").repartition("i", "bj")
+    cells = runs.select("i", "bj", F.posexplode("run").alias("k", "v")).where("v != 0")
+    sums = cells.groupBy("i", "bj", "k").agg(F.sum("v").alias("v"))
+    return sums.select("i", F.expr(f"bj * {TILE} + k").alias("j"), "v")
 
 
 def multiply_rows(left: DataFrame, right: DataFrame) -> DataFrame:
