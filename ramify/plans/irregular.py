@@ -19,15 +19,17 @@ def solve_two_ranks(
     keys: tuple[str, ...] = ("i",),
     leaf: int | None = None,
     part_rows: int | None = None,
+    folder: RunFolder | None = None,
 ) -> DataFrame:
     """Solve ``[[U0 V0' + D0, U0 W1'], [U1 W0', U1 V1' + D1]] x = b``.
 
     Side s holds its keys, ``u`` and ``v`` of its own rank, ``w`` of the other
     side's rank, ``d`` and ``b`` (array).  Each side is its own tree; W rides along
-    as extra gram rows, so the two roots alone decide the coupling.
+    as extra gram rows, so the two roots alone decide the coupling.  Pass a ``folder``
+    to release the written tables afterwards.
     """
     keys = list(keys)
-    folder = RunFolder(sides[0].sparkSession)
+    folder = folder or RunFolder(sides[0].sparkSession)
     trees = []
     for s, rows in enumerate(sides):
         size = leaf or max(64, 2 * ranks[s])

@@ -50,7 +50,15 @@ class LevelStorage:
         return self.blocks.to_matrix(col1=self.nrhs)
 
 
-def solve_by_levels(u: Matrix, v: Matrix, diag: Vector, b: Matrix, level: int, launch_level: int | None = None) -> LevelStorage:
+def solve_by_levels(
+    u: Matrix,
+    v: Matrix,
+    diag: Vector,
+    b: Matrix,
+    level: int,
+    launch_level: int | None = None,
+    folder: RunFolder | None = None,
+) -> LevelStorage:
     """Leaf solves, then one reduction, node solve and update per level up to the root."""
     top = level if launch_level is None else launch_level
     if not 0 <= top <= level:
@@ -58,7 +66,7 @@ def solve_by_levels(u: Matrix, v: Matrix, diag: Vector, b: Matrix, level: int, l
     part_rows, leaf = u.rows >> top, u.rows >> level
     diagonal = Matrix(diag.df.selectExpr("i", "0 as j", "v"), diag.rows, 1)
     ub, vb, db, bb = (RowBlocks.from_matrix(m, top, part_rows) for m in (u, v, diagonal, b))
-    folder = RunFolder(u.df.sparkSession)
+    folder = folder or RunFolder(u.df.sparkSession)
     vb = vb.cut(folder, "v")
     w = RowBlocks.part_solve(ub, vb, db, bb, leaf, copies=top).cut(folder, f"w{top}")
     for at in range(top - 1, -1, -1):

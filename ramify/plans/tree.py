@@ -21,8 +21,10 @@ from ramify.functions.algebra import dot
 from ramify.operators.kernels import dense_rows, list_column, solve_part, sweep
 from ramify.session import BROADCAST_BYTES, RunFolder
 
-#: Tree levels merged per shuffle; a node then gathers at most 2**FAN_IN grams.
+#: Tree levels merged per shuffle; a node then gathers at most 2**FAN_IN grams,
+#: fewer where the rank makes them large.
 FAN_IN = 6
+NODE_BYTES = 64 << 20
 #: A part's input stays near this size.
 PART_BYTES = 64 << 20
 
@@ -154,7 +156,7 @@ def solve_parts(
 
 
 def merge_tree(parts: Parts, folder: RunFolder, name: str, keep_root: bool = False) -> list[DataFrame]:
-    """Merge grams up to the root, ``FAN_IN`` levels per shuffle.
+    """Merge grams up to the root, several levels per shuffle.
 
     Returns one frame per shuffle, bottom first: ``(id, node, x, g)`` with the
     child's coefficients relative to its node and, on one row per node, the node's
@@ -167,9 +169,10 @@ def merge_tree(parts: Parts, folder: RunFolder, name: str, keep_root: bool = Fal
     nodes = parts.grams.select(
         F.expr(f"shiftleft(grp, {seq_bits}) | seq").alias("id"), "g"
     )
+    levels = min(FAN_IN, max(1, (NODE_BYTES // (8 * m * q)).bit_length() - 1))
     stages = []
     while bits > 0 or (keep_root and not stages):
-        step = min(FAN_IN, bits)
+        step = min(levels, bits)
 
         def merge(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             (node,) = (value.as_py() for value in group)

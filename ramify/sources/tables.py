@@ -9,13 +9,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_spread(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """The columns of a table over at least one task per core.
+def spread(table: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a table scan over at least one task per core.
 
     A table with fewer file splits than cores is redistributed; a large one has
-    plenty of splits and is read as it is.  Hashing every column keeps the exchange
+    plenty of splits and is used as it is.  Hashing every column keeps the exchange
     the same for all uses of the table in one query, so Spark runs it once.
     """
-    table = read_table(spark, folder, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
+    table = table.select(*columns)
+    cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores, *columns) if table.rdd.getNumPartitions() < cores else table
