@@ -64,7 +64,6 @@ def solve_two_ranks(
         .groupBy("node")
         .applyInArrow(couple, "side int, node bigint, c array<double>")
     )
-    top = folder.cut(top, "top")
     solved = [
         apply_coefficients(
             parts, push_down(stages, parts, top.where(F.col("side") == s).select("node", "c"))
