@@ -9,6 +9,7 @@ from ramify.catalog.base import (
     Known,
     column_matrix,
     entries,
+    leaves,
     quarters,
     query,
     rounded,
@@ -163,15 +164,15 @@ def mat_axpby(spark, folder):
 @query(
     "dense_blocks",
     BASE
-    + """SELECT E.i // (n // 4) AS p, E.i, V.i % (n // 4) AS k,
+    + """SELECT E.i // 125 AS p, E.i, V.i % 125 AS k,
 round(sum(E.v * V.v) + CASE WHEN E.i = V.i THEN any_value(X.d) ELSE 0.0 END, 6) + 0.0 AS v
-FROM E CROSS JOIN N JOIN V ON E.j = V.j AND E.i // (n // 4) = V.i // (n // 4) JOIN X ON X.i = E.i GROUP BY E.i, V.i, n""",
+FROM E JOIN V ON E.j = V.j AND E.i // 125 = V.i // 125 JOIN X ON X.i = E.i GROUP BY E.i, V.i""",
 )
 def dense_blocks(spark, folder):
     known = Known(spark, folder)
     u, v, d = known.u, known.v, column_matrix(known.d)
-    size = u.rows // 4
-    k = RowBlocks.dense_blocks(*(RowBlocks.from_matrix(m, 2, size) for m in (u, v, d)))
+    size = known.leaf
+    k = RowBlocks.dense_blocks(*(leaves(m, size) for m in (u, v, d)))
     return k.entries().select(
         F.expr(f"i div {size}").alias("p"), "i", F.col("j").alias("k"), rounded("v").alias("v")
     )
@@ -244,13 +245,13 @@ def gemm_alpha_beta(spark, folder):
 @query(
     "gemm_transposed",
     BASE
-    + """, P AS (SELECT i // (n // 4) AS p, i % (n // 4) AS k, j, v FROM E, N)
+    + """, P AS (SELECT i // 125 AS p, i % 125 AS k, j, v FROM E)
 SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM P a JOIN P b ON a.p = b.p AND a.j = b.j GROUP BY 1, 2""",
 )
 def gemm_transposed(spark, folder):
-    """Sum over the parts of ``E_p E_p'``."""
-    e = Known(spark, folder).u
-    b = RowBlocks.from_matrix(e, 2, e.rows // 4)
+    """Sum over the leaves of ``E_p E_p'``."""
+    known = Known(spark, folder)
+    b = leaves(known.u, known.leaf)
     return shown(RowBlocks.gemm_red("n", "t", 1.0, b, b))
 
 
@@ -291,14 +292,13 @@ def gemm_inplace(spark, folder):
 
 @query("dense_lu_solve", BASE + "SELECT i, x FROM X")
 def dense_lu_solve(spark, folder):
-    """One dense solve per part; b is made from the known x part by part."""
+    """One dense solve per leaf; b is made from the known x leaf by leaf."""
     known = Known(spark, folder)
     u, v, d = known.u, known.v, column_matrix(known.d)
     x = column_matrix(known.x)
-    size = u.rows // 4
-    ub, vb, db, xb = (RowBlocks.from_matrix(m, 2, size) for m in (u, v, d, x))
+    ub, vb, db, xb = (leaves(m, known.leaf) for m in (u, v, d, x))
     k = RowBlocks.dense_blocks(ub, vb, db)
-    b = RowBlocks.gemm_red("n", "n", 1.0, k, xb, parts=4)
+    b = RowBlocks.gemm_red("n", "n", 1.0, k, xb, parts=k.parts)
     return k.leaf_solve(b).to_vector().df.select("i", rounded("v").alias("x"))
 
 
@@ -307,16 +307,16 @@ def dense_lu_solve(spark, folder):
     BASE + "SELECT i, x FROM X",
 )
 def part_solve(spark, folder):
-    """Two levels merged inside each of two parts, with b made from the known x per part."""
+    """Two leaves merged inside each part, with b made from the known x per part."""
     known = Known(spark, folder)
     u, v, d = known.u, known.v, column_matrix(known.d)
     x = column_matrix(known.x)
-    size = u.rows // 2
-    ub, vb, db, xb = (RowBlocks.from_matrix(m, 1, size) for m in (u, v, d, x))
-    vtx = RowBlocks.gemm_red("t", "n", 1.0, vb, xb, parts=2)
+    size = 2 * known.leaf
+    ub, vb, db, xb = (leaves(m, size) for m in (u, v, d, x))
+    vtx = RowBlocks.gemm_red("t", "n", 1.0, vb, xb, parts=vb.parts)
     dx = Matrix(known.d.multiply(known.x).diagonal().df.selectExpr("i", "0 as j", "v"), u.rows, 1)
-    b = RowBlocks.gemm_bro("n", "n", 1.0, ub, vtx, 1.0, RowBlocks.from_matrix(dx, 1, size))
-    w = RowBlocks.part_solve(ub, vb, db, b, leaf=size // 2)
+    b = RowBlocks.gemm_bro("n", "n", 1.0, ub, vtx, 1.0, leaves(dx, size))
+    w = RowBlocks.part_solve(ub, vb, db, b, leaf=known.leaf)
     return w.window(0, 1).to_vector().df.select("i", rounded("v").alias("x"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ramify.catalog.base import BASE, Known, column_matrix, query, rounded
 from ramify.functions.algebra import array_sums, dot
-from ramify.plans.hodlr import Hodlr, heavy_layout
+from ramify.plans.hodlr import Hodlr, blocked_layout, heavy_layout
 from ramify.plans.irregular import solve_two_ranks
 from ramify.plans.levels import solve_by_levels
 from ramify.sources.tables import read_table, spread
@@ -46,19 +46,27 @@ def hodlr_solve(spark, folder):
     return first_x(h.solve("b", leaf=125, nrhs=1), "i")
 
 
-def _levels(level: int, launch_level: int | None = None):
+def _part_levels(levels: int):
+    """Parts by row number with ``2**levels`` leaves each: that many levels are merged in the task."""
+
     def run(spark, folder):
-        h = embedding_system(spark, folder)
-        n = read_table(spark, folder, "embeddings").count()
-        return first_x(h.solve_levels("b", n, level, launch_level), "i")
+        h, known = embedding_system(spark, folder), Known(spark, folder)
+        layout = blocked_layout("i", known.leaf << levels, known.leaf)
+        return first_x(h.solve("b", leaf=known.leaf, layout=layout, nrhs=1), "i")
 
     return run
 
 
-query("hodlr_solve_L0", KNOWN)(_levels(0))
-query("hodlr_solve_L1", KNOWN)(_levels(1))
-query("hodlr_solve_L2", KNOWN)(_levels(2))
-query("hodlr_solve_L2_launch1", KNOWN)(_levels(2, 1))
+query("hodlr_solve_L0", KNOWN)(_part_levels(0))
+query("hodlr_solve_L1", KNOWN)(_part_levels(1))
+query("hodlr_solve_L2", KNOWN)(_part_levels(2))
+
+
+@query("hodlr_solve_regular", KNOWN)
+def hodlr_solve_regular(spark, folder):
+    """Equal halves down to leaves just above the rank, the lowest level inside the parts."""
+    h, known = embedding_system(spark, folder), Known(spark, folder)
+    return first_x(h.solve_levels("b", known.n, known.level, max(0, known.level - 1), nrhs=1), "i")
 
 
 @query("hodlr_by_levels", KNOWN)
@@ -67,7 +75,7 @@ def hodlr_by_levels(spark, folder):
     known = Known(spark, folder)
     u, v, d, x = known.u, known.v, known.d, known.x
     b = u * (v.T * x) + d.multiply(x)
-    solved = solve_by_levels(u, v, d, column_matrix(b), 2).solution()
+    solved = solve_by_levels(u, v, d, column_matrix(b), known.level).solution()
     return solved.df.select("i", rounded("v").alias("x"))
 
 

@@ -116,8 +116,8 @@ class RowBlocks:
     # -- in and out ----------------------------------------------------------
 
     @staticmethod
-    def _grid(rows: int, level: int, width: int, block_rows: int | None) -> tuple[int, int, int]:
-        parts = 1 << level
+    def _grid(rows: int, level: int, width: int, block_rows: int | None, parts: int | None = None) -> tuple[int, int, int]:
+        parts = parts or 1 << level
         _check(rows % parts == 0, f"{rows} rows do not split into {parts} equal parts")
         part_rows = rows // parts
         block_rows = min(block_rows or max(1, BLOCK_BYTES // (8 * width)), part_rows)
@@ -133,9 +133,11 @@ class RowBlocks:
         )
 
     @classmethod
-    def from_matrix(cls, m: Matrix, level: int, block_rows: int | None = None) -> RowBlocks:
-        """Partition a matrix into ``2**level`` row parts: one shuffle by block."""
-        parts, part_rows, block_rows = cls._grid(m.rows, level, m.cols, block_rows)
+    def from_matrix(
+        cls, m: Matrix, level: int = 0, block_rows: int | None = None, parts: int | None = None
+    ) -> RowBlocks:
+        """Partition a matrix into ``2**level`` (or ``parts``) equal row parts: one shuffle by block."""
+        parts, part_rows, block_rows = cls._grid(m.rows, level, m.cols, block_rows, parts)
         cols = m.cols
         part = F.expr(f"i div {part_rows}")
         row0 = F.expr(f"i div {part_rows} * {part_rows} + i % {part_rows} div {block_rows} * {block_rows}")
@@ -264,8 +266,7 @@ class RowBlocks:
         col1 = m.cols if col1 is None else col1
         _check(0 <= col0 and col1 <= self.width, "columns are outside the storage")
         _check((col1 - col0) >= m.cols and (col1 - col0) % m.cols == 0, "columns do not hold whole copies")
-        level = (self.parts - 1).bit_length()
-        source = RowBlocks.from_matrix(m, level, self.block_rows)
+        source = RowBlocks.from_matrix(m, block_rows=self.block_rows, parts=self.parts)
         width, copies = self.width, (col1 - col0) // m.cols
         see = source._view()
 

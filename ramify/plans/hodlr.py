@@ -32,6 +32,7 @@ def uniform_layout(row: str, rows: int, level: int, launch_level: int) -> Layout
 
 
 def blocked_layout(row: str, part_rows: int, leaf: int) -> Layout:
+    """Parts of ``part_rows`` rows by row number, the last one possibly shorter."""
     return Layout(F.expr(f"`{row}` div {part_rows}"), F.expr(f"`{row}` % {part_rows}"), F.lit(leaf))
 
 
@@ -133,11 +134,13 @@ class Hodlr:
         stages = merge_tree(parts, folder, "tree")
         return apply_coefficients(parts, push_down(stages, parts))
 
-    def solve_levels(self, b, rows: int, level: int, launch_level: int | None = None) -> DataFrame:
+    def solve_levels(
+        self, b, rows: int, level: int, launch_level: int | None = None, nrhs: int | None = None
+    ) -> DataFrame:
         """Solve on the regular tree of ``2**level`` leaves over rows ``0..rows-1``."""
         launch_level = level if launch_level is None else launch_level
         layout = uniform_layout(self.keys[0], rows, level, launch_level)
-        return self.solve(b, leaf=rows >> level, layout=layout)
+        return self.solve(b, leaf=rows >> level, layout=layout, nrhs=nrhs)
 
     def products(self, *xs: Column | str) -> DataFrame:
         """The system with ``ax array``: ``U (V' x) + D x`` for each column ``x``.

@@ -75,7 +75,6 @@ def solve_by_levels(
         d, u_at = storage.d(at), storage.u(at)
         # d and u lie next to each other, so one reduction gives V'd and V'u.
         vtw = RowBlocks.gemm_red("t", "n", 1.0, vb, w.window(0, d.cols + u_at.cols), sides, levels=2)
-        vtw = vtw.cut(folder, f"vtw{at}")
         eta = RowBlocks.node_solve(vtw.window(d.cols, u_at.cols), vtw.window(0, d.cols))
         eta = eta.window(0, d.cols)
         w = RowBlocks.gemm_bro("n", "n", -1.0, u_at, eta, 1.0, d)

@@ -33,6 +33,15 @@ def test_round_trip_and_ranges(spark, block_rows):
     assert b.measure().first().asDict() == {"rows": 96, "width": 2, "parts": 8, "part_rows": 12}
 
 
+def test_any_number_of_parts(spark):
+    m = random_matrix(spark, 21, 2, 3, 1)
+    b = RowBlocks.from_matrix(m, block_rows=4, parts=3)
+    assert b.part_rows == 7 and b.df.count() == 6
+    assert np.array_equal(b.init_data(m).to_matrix().to_numpy(), m.to_numpy())
+    w = RowBlocks.gemm_red("t", "n", 1.0, b, b)
+    assert np.allclose(w.to_matrix().to_numpy(), m.to_numpy().T @ m.to_numpy())
+
+
 def test_sparse_source_keeps_empty_blocks(spark):
     m = Matrix(spark.createDataFrame([(5, 1, 2.0)], "i bigint, j bigint, v double"), 8, 2)
     b = RowBlocks.from_matrix(m, 2)
