@@ -329,8 +329,16 @@ class RowBlocks:
                     held[c] = held.get(c, 0.0) + _op(see_a(x), ta) @ _op(see_b(y), tb)
             yield emit()
 
-        on = "row0" if by_row else "part"
-        products = _side_by_side(a, b, on).mapInArrow(partial, "part bigint, c array<double>")
+        pairs = _side_by_side(a, b, "row0" if by_row else "part")
+        if color == 1 and a.whole_parts and b.whole_parts:
+            # Nothing to add up: one product per part, no shuffle of the results.
+            def whole(nrow, part, x, y):
+                return alpha * (_op(see_a(x), ta) @ _op(see_b(y), tb))
+
+            df = pairs.mapInArrow(_per_block(whole, "data", "other"), SCHEMA)
+            df = df.select("part", (F.col("part") * m).alias("row0"), F.lit(m).alias("nrow"), "data")
+            return RowBlocks(df, m * parts, n, parts, m, levels=levels)
+        products = pairs.mapInArrow(partial, "part bigint, c array<double>")
         sums = (
             products.select("part", F.posexplode("c").alias("at", "v"))
             .groupBy("part", "at")

@@ -90,8 +90,8 @@ def test_gemm_reduce(spark, block_rows, levels):
 def test_gemm_reduce_many_groups_per_task(spark, monkeypatch):
     monkeypatch.setattr(blocks, "HELD_GROUPS", 2)
     u, um = split(spark, 64, 3, 16, 4, 1)
-    w = RowBlocks.gemm_red("t", "n", 1.0, u, u, parts=16)
-    want = np.vstack([um[4 * p : 4 * p + 4].T @ um[4 * p : 4 * p + 4] for p in range(16)])
+    w = RowBlocks.gemm_red("t", "n", 1.0, u, u, parts=8)
+    want = np.vstack([um[8 * p : 8 * p + 8].T @ um[8 * p : 8 * p + 8] for p in range(8)])
     assert np.allclose(w.to_matrix().to_numpy(), want)
 
 
