@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, langid, packing, quality, secrets, simhash, topk, warc
+from ramify.llm import decontaminate, langid, lm, packing, quality, secrets, simhash, topk, warc
 from ramify.session import RunFolder, ship_package
 from ramify.sources.tables import read_table
 
@@ -114,6 +114,14 @@ def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, profiles, [F.col("doc_id"), held_out(4).alias("held_out")])
 
 
+@query("op8_hmm")
+def op8_hmm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log likelihood of every document, learned from six sevenths of them."""
+    docs = read_table(spark, folder, "documents")
+    model = lm.LanguageModel(docs, ~held_out(7), [F.col("doc_id"), held_out(7).alias("held_out")])
+    return model.score()
+
+
 @query("op9_secrets")
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""
