@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, langid, lm, packing, quality, secrets, simhash, topk, warc
+from ramify.llm import decontaminate, langid, lm, packing, quality, secrets, simhash, suffixes, topk, warc
 from ramify.session import RunFolder, ship_package
 from ramify.sources.tables import read_table
 
@@ -64,6 +64,14 @@ def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.PivotIndex(vectors).search(vectors.where(F.col("id") % 20 == 0), 20)
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document when repeated strings of 50 bytes are removed."""
+    found = suffixes.remove_repeats(read_table(spark, folder, "documents"), [F.col("doc_id")])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_decontaminate")
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in documents."""

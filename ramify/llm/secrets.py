@@ -105,7 +105,7 @@ def _allowed(candidate: Column) -> Column:
     return verdict
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", base: str = "base_spans", every: str = "secret_spans") -> DataFrame:
     """``docs`` with columns base_spans and secret_spans: array<struct<start, kind, end>>.
 
     base_spans hold the pattern matches, secret_spans these and the entropy spans, by start
@@ -115,13 +115,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, [*BASE, "entropy"])), s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))
     matched = {k: F.filter(_pieces(t, p, g, k), lambda s, n=n: s["size"] >= n) for k, (p, g, n) in BASE.items()}
-    # aggregate() holds every text once; the arrays are short, and their order is fixed at the end
     out = docs.withColumns({f"__{k}": _spans(v) for k, v in matched.items()})
-    out = out.withColumn("base_spans", _spans(F.array_sort(F.transform(F.concat(*[F.col(f"__{k}") for k in BASE]), order))))
+    out = out.withColumn(base, _spans(F.array_sort(F.transform(F.concat(*[F.col(f"__{k}") for k in BASE]), order))))
     out = out.drop(*[f"__{k}" for k in BASE])
-    likely = F.when(t.rlike(CANDIDATE), _unknown(t, F.col("base_spans"))).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int>>"))
-    every = F.concat("base_spans", likely)
-    return out.withColumn("secret_spans", _spans(F.array_sort(F.transform(every, order))))
+    likely = F.when(t.rlike(CANDIDATE), _unknown(t, F.col(base))).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int>>"))
+    return out.withColumn(every, _spans(F.array_sort(F.transform(F.concat(base, likely), order))))
 
 
 def listed(spans: str) -> Column:
@@ -132,7 +130,7 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of secret characters replaced by ``mark``; other texts stay as they are."""
     names = docs.columns
-    scanned = scan(docs, text)
+    scanned = scan(docs, text, "__base_spans", "__secret_spans")
     none = F.array().cast("array<string>")
     start = F.struct(F.lit(0).alias("at"), none.alias("kept"))
 
@@ -142,7 +140,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         kept = F.when(overlap, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(piece, F.lit(mark))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("kept"))
 
-    done = F.aggregate("secret_spans", start, cut)
+    done = F.aggregate("__secret_spans", start, cut)
     clean = F.concat(F.array_join(done["kept"], ""), F.substring(F.col(text), done["at"] + 1, F.length(text)))
-    safe = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col(text))
+    safe = F.when(F.size("__secret_spans") > 0, clean).otherwise(F.col(text))
     return scanned.withColumn(text, safe).select(*names)
