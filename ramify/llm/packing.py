@@ -10,8 +10,10 @@ least capacity that is large enough.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,46 +27,74 @@ WINDOW = 4096
 #: Pieces of a shard, on average. Padding is below one window per shard and that of best fit.
 SHARD_PIECES = 8192
 #: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+
+#: Words of letters whose lower case and normal form are the same in every Unicode version.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"([{_LETTERS}]*)([^\\sA-Za-z0-9'\u0080-\U0010ffff\0-\x1f\x7f]*)")
 
 
 class WordIds(dict):
     """Ids of a text's blank-separated words, as little-endian bytes, kept by word.
 
-    The tokenizer drops white space and splits at it before anything else, so a
-    text's ids are those of its words in turn.  Letters and a final mark are separate
-    tokens too, and case is dropped, so such words are looked up by their parts.
+    The tokenizer drops white space and case, and splits letters from marks before anything else,
+    so a text's ids are those of its words in turn, and a word of letters and then marks has those of
+    both parts.  New parts are encoded together: each is one unit there, and the last of
+    its ids is one that ends a word.  All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.units = Tokenizer.from_file(path)
+        self.units.normalizer = normalizers.Sequence([])
+        blanks, level = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.units.pre_tokenizer = pre_tokenizers.Sequence([blanks, level])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if word.isascii() and not word.islower() and word != word.lower() and "<|" not in word:
-            ids = self[word.lower()]
-        elif word[-1] in ".,!?;:" and word[:-1].isalpha():
-            ids = self[word[:-1]] + self._encode(word[-1])
-        else:
-            ids = self._encode(word)
+        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, words: set[str]) -> None:
+        """Add words: those of letters at once, the rest when they are asked for."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        split = {w: m.groups() for w in words if w not in self and (m := _PLAIN.fullmatch(w))}
+        parts = {core.lower() for core, _ in split.values()} | {mark for _, mark in split.values()}
+        if ordered := [p for p in parts if p and p not in self]:
+            ids = np.array(self.units.encode(" ".join(ordered), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(ordered):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(ordered, ends.tolist(), strict=True):
+                self[word], begin = raw[begin:end], end
+        for word, (core, mark) in split.items():
+            if word not in self:
+                self[word] = (self[core.lower()] if core else b"") + (self[mark] if mark else b"")
+
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _split(text)))
+_KNOWN: dict[str, WordIds] = {}
 
 
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+def word_ids(path: str) -> WordIds:
+    """The words this process knows; tasks that follow one another share them."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
 
 
 def _split(text: str) -> list[str]:
-    return [w for w in text.translate(_BLANKS).split(" ") if w]
+    """Words between white space; Python also splits at four characters that the tokenizer keeps."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return re.split(r"[\t-\r ]+", text.strip("\t\n\x0b\x0c\r "))
+    return text.split()
 
 
 class Windows:
@@ -126,13 +156,15 @@ def tokenized(docs: DataFrame, path: str, keys: list[Column], text: str = "text"
     names = [n for n in wanted.columns if n != "__text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = WordIds(path), np.array([end], "<u4").tobytes()
+        words, last = word_ids(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column("__text"), "")
             for lo in range(0, len(texts), 256):
                 of, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, t in enumerate(texts.slice(lo, 256).to_pylist()):
-                    whole = words.of(t) + last
+                split = [_split(t) for t in texts.slice(lo, 256).to_pylist()]
+                words.learn(set(chain.from_iterable(split)))
+                for i, own in enumerate(split):
+                    whole = b"".join(map(words.__getitem__, own)) + last
                     for at in range(0, len(whole), 4 * window):
                         piece = whole[at : at + 4 * window]
                         of.append(lo + i)
