@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams are counted: ``target`` from the rows labelled
-good, ``raw`` from all rows.  N-grams are pairs of bytes, and pairs of words told apart only by
+good (at most ``LABELS`` of them), ``raw`` from all rows.  N-grams are pairs of bytes, and pairs of words told apart only by
 whether both words are equal; both kinds are shared by all texts, so a text that the labels
 missed is judged like one that they hold.  Every document counts once in a model, whatever
 its length, else a few long ones would shift the mix of languages in one of them.
@@ -31,6 +31,8 @@ from ramify.session import RunFolder
 BINS = 1 << 12
 #: Effective number of n-grams of a text, neutral n-grams added, least mean of an accepted row.
 LENGTH, SHORT, FLOOR = 64.0, 64, -0.06
+#: Good labels that the target model is made from, at most.
+LABELS = 1 << 16
 #: Every bin gets this share of the mean bin, so none is empty.
 SMOOTH = 1e-4
 #: A document's whole count; counts are whole numbers, so sums do not depend on their order.
@@ -136,10 +138,16 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with column __good: labelled 1 (labels that disagree: their mean is 1/2 or more)."""
-    votes = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.avg("quality") >= 0.5).alias("__good"))
-    return docs.join(votes, docs["doc_id"] == votes["__id"], "left").drop("__id")
+def labelled(docs: DataFrame, labels: DataFrame, limit: int = LABELS) -> DataFrame:
+    """``docs`` with column __good: labelled 1 (labels that disagree: their mean is 1/2 or more).
+
+    Of more than ``limit`` good labels those with the least hashes are used, so what is sent to
+    all tasks is bounded and the texts are not shuffled.
+    """
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    votes = known.groupBy(F.col("doc_id").alias("__id")).agg(F.avg("quality").alias("q")).where(F.col("q") >= 0.5)
+    votes = votes.orderBy(F.xxhash64("__id"), "__id").limit(limit).select("__id", F.lit(True).alias("__good"))
+    return docs.join(F.broadcast(votes), docs["doc_id"] == votes["__id"], "left").drop("__id")
 
 
 class Sampler:
