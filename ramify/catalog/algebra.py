@@ -73,12 +73,12 @@ def rand_seeds(spark, folder):
 @query(
     "vec_rand",
     f"""WITH RECURSIVE {seed_rows("s", "42", "4")},
-{draw_rows("s", "(SELECT count(*) // 4 FROM customer)")}
-SELECT part * (SELECT count(*) // 4 FROM customer) + k AS i, x::DOUBLE / 281474976710656.0 + 100 AS v FROM draws""",
+{draw_rows("s", "(SELECT (count(*) + 3) // 4 FROM customer)")}
+SELECT part * (SELECT (count(*) + 3) // 4 FROM customer) + k AS i, x::DOUBLE / 281474976710656.0 + 100 AS v FROM draws
+WHERE part * (SELECT (count(*) + 3) // 4 FROM customer) + k < (SELECT count(*) FROM customer)""",
 )
 def vec_rand(spark, folder):
-    rows = read_table(spark, folder, "customer").count() // 4 * 4
-    return random_vector(spark, rows, 4, seed=42, offset=100).df
+    return random_vector(spark, read_table(spark, folder, "customer").count(), 4, seed=42, offset=100).df
 
 
 @query(

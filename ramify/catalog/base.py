@@ -73,18 +73,13 @@ class Known:
     def rank(self) -> int:
         return self.table.select(F.size("embedding").alias("r")).first()["r"]
 
-    @property
-    def leaf(self) -> int:
-        """Rows of a leaf: the largest divisor of n up to 128, so leaves do not grow with the table."""
-        return max(k for k in range(1, 129) if self.n % k == 0)
+    #: Rows of a leaf, whatever the size of the table; above the rank of 64.
+    leaf = 125
 
     @property
     def level(self) -> int:
-        """Levels of the regular tree whose equal leaves stay above the rank."""
-        level = 0
-        while self.n % (2 << level) == 0 and self.n >> (level + 1) > self.rank:
-            level += 1
-        return level
+        """Levels of the regular tree with leaves of at most ``leaf`` rows."""
+        return max(0, (-(-self.n // self.leaf) - 1).bit_length())
 
     @cached_property
     def u(self) -> Matrix:
@@ -130,10 +125,10 @@ def column_matrix(x: Vector) -> Matrix:
 
 
 def quarters(m: Matrix) -> RowBlocks:
-    """Four equal row parts."""
+    """Four row parts."""
     return RowBlocks.from_matrix(m, 2)
 
 
 def leaves(m: Matrix, rows: int) -> RowBlocks:
-    """Parts of ``rows`` rows, each in one block."""
-    return RowBlocks.from_matrix(m, block_rows=rows, parts=m.rows // rows)
+    """Parts of at most ``rows`` rows, each in one block."""
+    return RowBlocks.from_matrix(m, block_rows=rows, parts=-(-m.rows // rows))

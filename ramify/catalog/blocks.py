@@ -70,7 +70,7 @@ def column_window(spark, folder):
 
 @query(
     "matrix_shape",
-    "SELECT count(*) AS rows, max(len(embedding)) AS width, 4::BIGINT AS parts, count(*) // 4 AS part_rows FROM embeddings",
+    "SELECT count(*) AS rows, max(len(embedding)) AS width, 4::BIGINT AS parts, (count(*) + 3) // 4 AS part_rows FROM embeddings",
 )
 def matrix_shape(spark, folder):
     return quarters(Known(spark, folder).u).measure()
@@ -78,7 +78,7 @@ def matrix_shape(spark, folder):
 
 @query(
     "partition_rows",
-    BASE + "SELECT i // (n // 4) AS part, min(i) AS row0, count(*) AS nrow FROM X, N GROUP BY 1",
+    BASE + "SELECT i // ((n + 3) // 4) AS part, min(i) AS row0, count(*) AS nrow FROM X, N GROUP BY 1",
 )
 def partition_rows(spark, folder):
     return quarters(Known(spark, folder).u).colors()
@@ -86,7 +86,7 @@ def partition_rows(spark, folder):
 
 @query(
     "two_level_partition",
-    BASE + "SELECT i // (n // 4) // 2 AS node, i // (n // 4) % 2 AS side, min(i) AS row0, count(*) AS nrow FROM X, N GROUP BY 1, 2",
+    BASE + "SELECT i // ((n + 3) // 4) // 2 AS node, i // ((n + 3) // 4) % 2 AS side, min(i) AS row0, count(*) AS nrow FROM X, N GROUP BY 1, 2",
 )
 def two_level_partition(spark, folder):
     halves = RowBlocks.from_matrix(Known(spark, folder).u, 1, block_rows=25)
@@ -173,12 +173,13 @@ def dense_blocks(spark, folder):
     u, v, d = known.u, known.v, column_matrix(known.d)
     size = known.leaf
     k = RowBlocks.dense_blocks(*(leaves(m, size) for m in (u, v, d)))
-    return k.entries().select(
+    own = F.least(F.lit(size), F.lit(known.n) - F.expr(f"i div {size}") * size)  # the last leaf may be shorter
+    return k.entries().where(F.col("j") < own).select(
         F.expr(f"i div {size}").alias("p"), "i", F.col("j").alias("k"), rounded("v").alias("v")
     )
 
 
-GEMM_RED = BASE + """SELECT (V.i // (n // 4)) // {color} AS node, V.j AS i, E.j AS j, round(sum(V.v * E.v), 6) + 0.0 AS v
+GEMM_RED = BASE + """SELECT (V.i // ((n + 3) // 4)) // {color} AS node, V.j AS i, E.j AS j, round(sum(V.v * E.v), 6) + 0.0 AS v
 FROM V JOIN E USING (i), N GROUP BY 1, 2, 3"""
 
 
@@ -192,7 +193,7 @@ def gemm_reduce(spark, folder):
 @query(
     "gemm_reduce_two_level",
     BASE
-    + """SELECT (V.i // (n // 4)) // 2 AS node, (V.i // (n // 4)) % 2 AS side, V.j AS i, E.j AS j,
+    + """SELECT (V.i // ((n + 3) // 4)) // 2 AS node, (V.i // ((n + 3) // 4)) % 2 AS side, V.j AS i, E.j AS j,
 round(sum(V.v * E.v), 6) + 0.0 AS v FROM V JOIN E USING (i), N GROUP BY 1, 2, 3, 4""",
 )
 def gemm_reduce_two_level(spark, folder):
@@ -205,7 +206,7 @@ def gemm_reduce_two_level(spark, folder):
 @query(
     "spmd_level_sum",
     BASE
-    + """, P AS (SELECT V.i // (n // 4) AS part, V.j AS i, E.j AS j, sum(V.v * E.v) AS v FROM V JOIN E USING (i), N GROUP BY 1, 2, 3)
+    + """, P AS (SELECT V.i // ((n + 3) // 4) AS part, V.j AS i, E.j AS j, sum(V.v * E.v) AS v FROM V JOIN E USING (i), N GROUP BY 1, 2, 3)
 SELECT l AS level, part >> (2 - l) AS node, i, j, round(sum(v), 6) + 0.0 AS v FROM P, range(2) t(l) GROUP BY 1, 2, 3, 4""",
 )
 def spmd_level_sum(spark, folder):
@@ -255,9 +256,9 @@ def gemm_transposed(spark, folder):
     return shown(RowBlocks.gemm_red("n", "t", 1.0, b, b))
 
 
-GROUPED = """, W AS (SELECT (V.i // (n // 4)) // {color} AS node, V.j AS k, E.j AS j, sum(V.v * E.v) AS w
+GROUPED = """, W AS (SELECT (V.i // ((n + 3) // 4)) // {color} AS node, V.j AS k, E.j AS j, sum(V.v * E.v) AS w
 FROM V JOIN E USING (i), N WHERE V.j < 16 AND E.j BETWEEN 16 AND 31 GROUP BY 1, 2, 3),
-P AS (SELECT E.i, W.j AS j, sum(E.v * W.w) AS p FROM E JOIN N ON true JOIN W ON W.node = (E.i // (n // 4)) // {color} AND W.k = E.j
+P AS (SELECT E.i, W.j AS j, sum(E.v * W.w) AS p FROM E JOIN N ON true JOIN W ON W.node = (E.i // ((n + 3) // 4)) // {color} AND W.k = E.j
 GROUP BY 1, 2)
 """
 
@@ -321,7 +322,7 @@ def part_solve(spark, folder):
 
 
 RANK_ONE = BASE + """, U1 AS (SELECT i, v / 1000 AS u FROM E WHERE j = 0), V1 AS (SELECT i, v AS w FROM V WHERE j = 0),
-m AS (SELECT U1.i // (n // 4) // 2 AS node, U1.i // (n // 4) % 2 AS side, sum(w * u) AS vtu, sum(w * x) AS vtd
+m AS (SELECT U1.i // ((n + 3) // 4) // 2 AS node, U1.i // ((n + 3) // 4) % 2 AS side, sum(w * u) AS vtu, sum(w * x) AS vtd
 FROM U1 JOIN V1 USING (i) JOIN X USING (i), N GROUP BY 1, 2)
 SELECT a.node, round((b.vtd - b.vtu * a.vtd) / (1 - a.vtu * b.vtu), 6) + 0.0 AS eta0,
 round((a.vtd - a.vtu * b.vtd) / (1 - a.vtu * b.vtu), 6) + 0.0 AS eta1

@@ -145,11 +145,17 @@ def hodlr_irregular_ranks(spark, folder):
 @query("hodlr_relative_residual", "SELECT true AS ok, count(*) AS n FROM embeddings")
 def hodlr_relative_residual(spark, folder):
     """The solution put back into the system."""
-    h = embedding_system(spark, folder)
-    solved = h.solve("b", leaf=125, nrhs=1).select("i", F.col("x")[0].alias("z"))
-    back = Hodlr(h.system.join(solved, "i"), rank=h.rank)
-    n = solved.agg(F.count("*").alias("n"))
-    return back.residual("z", F.col("b")[0]).select((F.col("relative") < 1e-12).alias("ok"), n.scalar().alias("n"))
+    return put_back(embedding_system(spark, folder), F.col("b")[0], nrhs=1, leaf=125)
+
+
+def put_back(h: Hodlr, b, **how) -> DataFrame:
+    """Whether ``b - A x`` is small, with x on the system's own rows, and their number."""
+    columns = [c for c in h.system.columns if c not in h.keys]
+    kept = [c for c in columns if c != "x"]
+    solved = h.solve("b" if "b" in columns else b, keep=kept, **how)
+    back = Hodlr(solved.withColumn("z", F.col("x")[0]), h.keys, h.rank)
+    n = solved.agg(F.count("*").alias("n")).scalar()
+    return back.residual("z", b).select((F.col("relative") < 1e-12).alias("ok"), n.alias("n"))
 
 
 LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -184,8 +190,24 @@ def hodlr_lineitem(spark, folder):
 @query("hodlr_lineitem_residual", "SELECT true AS ok, count(*) AS n FROM lineitem")
 def hodlr_lineitem_residual(spark, folder):
     """A right-hand side taken from the table, so the answer is not known beforehand."""
-    h = lineitem_system(spark, folder, "l_quantity")
-    solved = h.solve("l_quantity", leaf=32).select(*LINE_KEYS, F.col("x")[0].alias("z"))
-    back = Hodlr(h.system.join(solved, list(LINE_KEYS)), LINE_KEYS, h.rank)
+    return put_back(lineitem_system(spark, folder, "l_quantity"), "l_quantity", leaf=32)
+
+
+@query("hodlr_sparse_rhs", "SELECT true AS ok, count(*) AS n FROM customer")
+def hodlr_sparse_rhs(spark, folder):
+    """Order totals per customer on the right; customers without orders are zero there, and stay."""
+    customers = read_table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("i"),
+        F.array(F.lit(1.0), F.col("c_acctbal") / 1e4).alias("u"),
+        F.array(F.col("c_acctbal") / 1e4, F.lit(0.5)).alias("v"),
+        (F.lit(1000.0) + F.col("c_custkey") % 5).alias("d"),
+    )
+    orders = read_table(spark, folder, "orders")
+    totals = orders.groupBy(F.col("o_custkey").alias("i")).agg(F.sum("o_totalprice").alias("b"))
+    totals = totals.join(customers.select("i"), "i", "left_semi")
+    full = customers.join(totals, "i", "left").fillna(0.0, ["b"])
+    system = Hodlr(customers, rank=2)
+    solved = system.solve(totals, leaf=32, keep=["u", "v", "d"])
+    back = Hodlr(solved.withColumn("z", F.col("x")[0]).join(full.select("i", "b"), "i"), rank=2)
     n = solved.agg(F.count("*").alias("n")).scalar()
-    return back.residual("z", "l_quantity").select((F.col("relative") < 1e-12).alias("ok"), n.alias("n"))
+    return back.residual("z", "b").select((F.col("relative") < 1e-12).alias("ok"), n.alias("n"))

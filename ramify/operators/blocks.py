@@ -87,7 +87,8 @@ class RowBlocks:
 
     @property
     def part_rows(self) -> int:
-        return self.rows // self.parts
+        """Rows of every part but the last, which may be shorter."""
+        return -(-self.rows // self.parts)
 
     @property
     def whole_parts(self) -> bool:
@@ -118,27 +119,31 @@ class RowBlocks:
     @staticmethod
     def _grid(rows: int, level: int, width: int, block_rows: int | None, parts: int | None = None) -> tuple[int, int, int]:
         parts = parts or 1 << level
-        _check(rows % parts == 0, f"{rows} rows do not split into {parts} equal parts")
-        part_rows = rows // parts
+        part_rows = -(-rows // parts)
+        _check((parts - 1) * part_rows < rows, f"{rows} rows are too few for {parts} parts")
         block_rows = min(block_rows or max(1, BLOCK_BYTES // (8 * width)), part_rows)
         return parts, part_rows, block_rows
 
     @staticmethod
-    def _starts(spark: SparkSession, parts: int, part_rows: int, block_rows: int) -> DataFrame:
-        at = F.explode(F.sequence(F.lit(0), F.lit(part_rows - 1), F.lit(block_rows)))
-        return spark.range(parts).select(F.col("id").alias("part"), at.alias("at")).select(
+    def _starts(spark: SparkSession, rows: int, parts: int, part_rows: int, block_rows: int) -> DataFrame:
+        own = F.least(F.lit(part_rows), F.lit(rows) - F.col("part") * part_rows)
+        at = F.explode(F.sequence(F.lit(0).cast("bigint"), own - 1, F.lit(block_rows).cast("bigint")))
+        return spark.range(parts).select(F.col("id").alias("part")).select("part", own.alias("own"), at.alias("at")).select(
             "part",
             (F.col("part") * part_rows + F.col("at")).alias("row0"),
-            F.least(F.lit(block_rows), F.lit(part_rows) - F.col("at")).cast("int").alias("nrow"),
+            F.least(F.lit(block_rows), F.col("own") - F.col("at")).cast("int").alias("nrow"),
         )
 
     @classmethod
     def from_matrix(
         cls, m: Matrix, level: int = 0, block_rows: int | None = None, parts: int | None = None
     ) -> RowBlocks:
-        """Partition a matrix into ``2**level`` (or ``parts``) equal row parts: one shuffle by block."""
+        """Partition a matrix into ``2**level`` (or ``parts``) row parts: one shuffle by block.
+
+        Parts are equal but for the last, which is shorter where the rows do not divide.
+        """
         parts, part_rows, block_rows = cls._grid(m.rows, level, m.cols, block_rows, parts)
-        cols = m.cols
+        rows, cols = m.rows, m.cols
         part = F.expr(f"i div {part_rows}")
         row0 = F.expr(f"i div {part_rows} * {part_rows} + i % {part_rows} div {block_rows} * {block_rows}")
         if m.by_row is not None:
@@ -146,12 +151,12 @@ class RowBlocks:
         else:
             entries = m.df.select(part.alias("part"), row0.alias("row0"), "i", "j", "v")
         # One empty row per block, so that a block without entries still exists.
-        grid = cls._starts(m.df.sparkSession, parts, part_rows, block_rows)
+        grid = cls._starts(m.df.sparkSession, rows, parts, part_rows, block_rows)
         entries = entries.unionByName(grid.select("part", "row0"), allowMissingColumns=True)
 
         def assemble(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             p, first = (value.as_py() for value in group)
-            n = min(block_rows, part_rows - (first - p * part_rows))
+            n = min(block_rows, part_rows - (first - p * part_rows), rows - first)
             data = np.zeros((n, cols))
             table = table.filter(table.column("i").is_valid())
             at = table.column("i").to_numpy() - first
@@ -172,7 +177,7 @@ class RowBlocks:
         """Zero-filled storage; every block exists, so later joins keep all rows."""
         parts, part_rows, block_rows = cls._grid(rows, level, cols, block_rows)
         data = F.array_repeat(F.lit(0.0), F.col("nrow") * cols).alias("data")
-        df = cls._starts(spark, parts, part_rows, block_rows).select("part", "row0", "nrow", data)
+        df = cls._starts(spark, rows, parts, part_rows, block_rows).select("part", "row0", "nrow", data)
         return cls(df, rows, cols, parts, block_rows)
 
     def entries(self, row0: int = 0, row1: int | None = None, col0: int = 0, col1: int | None = None) -> DataFrame:
@@ -326,18 +331,21 @@ class RowBlocks:
                 for c, x, y in zip(colors, _cells(batch, "data"), _cells(batch, "other")):
                     if c not in held and len(held) >= HELD_GROUPS:
                         yield emit()
-                    held[c] = held.get(c, 0.0) + _op(see_a(x), ta) @ _op(see_b(y), tb)
+                    product = _product(_op(see_a(x), ta), _op(see_b(y), tb))
+                    total = held.setdefault(c, np.zeros((m, n)))
+                    total[: product.shape[0], : product.shape[1]] += product
             yield emit()
 
         pairs = _side_by_side(a, b, "row0" if by_row else "part")
         if color == 1 and a.whole_parts and b.whole_parts:
             # Nothing to add up: one product per part, no shuffle of the results.
             def whole(nrow, part, x, y):
-                return alpha * (_op(see_a(x), ta) @ _op(see_b(y), tb))
+                return alpha * _product(_op(see_a(x), ta), _op(see_b(y), tb))
 
             df = pairs.mapInArrow(_per_block(whole, "data", "other"), SCHEMA)
-            df = df.select("part", (F.col("part") * m).alias("row0"), F.lit(m).alias("nrow"), "data")
-            return RowBlocks(df, m * parts, n, parts, m, levels=levels)
+            own = (F.size("data") / n).cast("int")
+            df = df.select("part", (F.col("part") * m).alias("row0"), own.alias("nrow"), "data")
+            return RowBlocks(df, a.rows if ta == "n" else m * parts, n, parts, m, levels=levels)
         products = pairs.mapInArrow(partial, "part bigint, c array<double>")
         sums = (
             products.select("part", F.posexplode("c").alias("at", "v"))
@@ -398,14 +406,21 @@ class RowBlocks:
 
     @classmethod
     def dense_blocks(cls, u: RowBlocks, v: RowBlocks, d: RowBlocks) -> RowBlocks:
-        """``K_p = U_p V_p' + diag(D_p)`` for every part, stacked; parts are the leaves."""
+        """``K_p = U_p V_p' + diag(D_p)`` for every part, stacked; parts are the leaves.
+
+        A shorter last leaf is padded with zero columns to the width of the others.
+        """
         _check((u.rows, u.cols, u.parts) == (v.rows, v.cols, v.parts), "U and V differ in shape or parts")
         _check((d.rows, d.cols, d.parts) == (u.rows, 1, u.parts), "D must be one column with the parts of U")
         _check(u.whole_parts and v.whole_parts and d.whole_parts, "a leaf must be one block")
         see_u, see_v, see_d = u._view(), v._view(), d._view()
 
+        width = u.part_rows
+
         def work(nrow, part, x, y, z):
-            return low_rank_block(see_u(x), see_v(y), see_d(z)[:, 0])
+            block = np.zeros((nrow, width))
+            block[:, :nrow] = low_rank_block(see_u(x), see_v(y), see_d(z)[:, 0])
+            return block
 
         joined = _side_by_side(u, v).join(d.df.select("row0", F.col("data").alias("third")), "row0")
         df = joined.mapInArrow(_per_block(work, "data", "other", "third"), SCHEMA)
@@ -421,7 +436,7 @@ class RowBlocks:
         def work(nrow, part, data, k):
             data = data.reshape(nrow, -1).copy()
             window = see_b(data)
-            window[...] = solve(see_a(k), window, f"part {part}")
+            window[...] = solve(see_a(k)[:, :nrow], window, f"part {part}")
             return data
 
         df = _side_by_side(b, self).mapInArrow(_per_block(work, "data", "other"), SCHEMA)
@@ -484,6 +499,12 @@ class RowBlocks:
         return replace(vtd, df=df)
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``A B`` over the inner indices both have: a shorter last part ends in zeros that are not stored."""
+    k = min(a.shape[1], len(b))
+    return a[:, :k] @ b[:k]
+
+
 def node_solve_ragged(sides: DataFrame, nrhs: int) -> DataFrame:
     """Node solves with a rank per side.
 

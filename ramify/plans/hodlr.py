@@ -23,12 +23,14 @@ def is_power_of_two(n: int) -> bool:
 
 
 def uniform_layout(row: str, rows: int, level: int, launch_level: int) -> Layout:
-    """``2**launch_level`` equal parts, each holding ``2**(level - launch_level)`` leaves."""
+    """``2**launch_level`` parts, each holding ``2**(level - launch_level)`` leaves.
+
+    Leaves are equal; where the rows do not divide, the last ones are shorter or absent.
+    """
     if not 0 <= launch_level <= level:
         raise ValueError(f"launch level {launch_level} is outside 0..{level}")
-    if rows % (1 << level):
-        raise ValueError(f"{rows} rows do not split into {1 << level} equal leaves")
-    return blocked_layout(row, rows >> launch_level, rows >> level)
+    leaf = -(-rows // (1 << level))
+    return blocked_layout(row, leaf << (level - launch_level), leaf)
 
 
 def blocked_layout(row: str, part_rows: int, leaf: int) -> Layout:
@@ -68,14 +70,27 @@ class Hodlr:
 
     @classmethod
     def from_matrices(cls, u: Matrix, v: Matrix, d: Vector) -> Hodlr:
-        """Assemble the rows of U, V and D; the three frames are shuffled once by row."""
+        """Assemble the rows of U, V and D; the three frames are shuffled once by row.
+
+        Entries that are not stored are zero, so every row of the shape is in the system.
+        """
         if (u.rows, u.cols) != (v.rows, v.cols) or u.rows != d.rows:
             raise ValueError("U, V and D disagree in shape")
-        rows = (
-            u.row_frame()
-            .withColumnRenamed("row", "u")
-            .join(v.row_frame().withColumnRenamed("row", "v"), "i")
-            .join(d.df.withColumnRenamed("v", "d"), "i")
+        spark = u.df.sparkSession
+        frames = [
+            u.row_frame().select("i", F.col("row").alias("u")),
+            v.row_frame().select("i", F.col("row").alias("v")),
+            d.df.select("i", F.col("v").alias("d")),
+            spark.range(u.rows).select(F.col("id").alias("i")),
+        ]
+        stacked = frames[0]
+        for frame in frames[1:]:
+            stacked = stacked.unionByName(frame, allowMissingColumns=True)
+        zeros = F.array_repeat(F.lit(0.0), u.cols)
+        rows = stacked.groupBy("i").agg(
+            F.coalesce(F.first("u", ignorenulls=True), zeros).alias("u"),
+            F.coalesce(F.first("v", ignorenulls=True), zeros).alias("v"),
+            F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"),
         )
         return cls(rows, rank=u.cols)
 
@@ -93,7 +108,11 @@ class Hodlr:
     def _with_rhs(self, b: DataFrame | Column | str) -> tuple[DataFrame, int]:
         if isinstance(b, DataFrame):
             rhs = [c for c in b.columns if c not in self.keys]
-            rows = self.system.join(b, self.keys).withColumn("b", F.array(*rhs))
+            self._check_keys(b)
+            # absent entries are zero: every row of the system stays
+            values = b.select(*self.keys, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in rhs]).alias("b"))
+            zeros = F.array_repeat(F.lit(0.0), len(rhs))
+            rows = self.system.drop("b").join(values, self.keys, "left").withColumn("b", F.coalesce("b", zeros))
         else:
             column = F.col(b) if isinstance(b, str) else b
             rows = self.system.withColumn("b", column)
@@ -106,6 +125,13 @@ class Hodlr:
             return rows, nrhs
         return rows.withColumn("b", F.array(F.col("b").cast("double"))), 1
 
+    def _check_keys(self, b: DataFrame) -> None:
+        """The keys of a right-hand side are unique and all in the system."""
+        if not b.groupBy(*self.keys).count().where("count > 1").isEmpty():
+            raise ValueError("the right-hand side has several rows for one key")
+        if not b.join(self.system.select(*self.keys), self.keys, "left_anti").isEmpty():
+            raise ValueError("the right-hand side has keys that the system lacks")
+
     def solve(
         self,
         b: DataFrame | Column | str,
@@ -113,12 +139,15 @@ class Hodlr:
         layout: Layout | None = None,
         part_rows: int | None = None,
         nrhs: int | None = None,
+        keep: Sequence[str] = (),
     ) -> DataFrame:
         """Solve for one or several right-hand sides.
 
         ``b`` is a column of the system (a number, or an array with one value per
-        right-hand side) or a frame of keys and one column per right-hand side.
-        Returns the keys and ``x``, an array with one value per right-hand side.
+        right-hand side) or a frame of keys and one column per right-hand side, whose
+        absent rows are zero.  Returns the keys, the system's columns named in ``keep``, and
+        ``x``, an array with one value per right-hand side.  Kept columns stay on their own
+        row, so x can be put back without a join, also where keys repeat.
         """
         leaf = leaf or max(64, 2 * self.rank)
         if leaf <= self.rank:
@@ -127,20 +156,23 @@ class Hodlr:
             rows, nrhs = self._with_rhs(b)
         else:
             rows = self.system.withColumn("b", b if isinstance(b, Column) else F.col(b))
+        carried = {c: f"_keep{k}" for k, c in enumerate(keep)}
+        rows = rows.withColumns({to: F.col(c) for c, to in carried.items()})
         folder = self.folder()
         parts = solve_parts(
-            rows, self.keys, self.rank, self.rank, nrhs, leaf, folder, "parts", part_rows, layout
+            rows, [*self.keys, *carried.values()], self.rank, self.rank, nrhs, leaf, folder, "parts", part_rows, layout
         )
         stages = merge_tree(parts, folder, "tree")
-        return apply_coefficients(parts, push_down(stages, parts))
+        solved = apply_coefficients(parts, push_down(stages, parts))
+        return solved.withColumnsRenamed({to: c for c, to in carried.items()})
 
     def solve_levels(
         self, b, rows: int, level: int, launch_level: int | None = None, nrhs: int | None = None
     ) -> DataFrame:
-        """Solve on the regular tree of ``2**level`` leaves over rows ``0..rows-1``."""
+        """Solve on the tree of ``2**level`` leaves, the last ones maybe shorter, over rows ``0..rows-1``."""
         launch_level = level if launch_level is None else launch_level
         layout = uniform_layout(self.keys[0], rows, level, launch_level)
-        return self.solve(b, leaf=rows >> level, layout=layout, nrhs=nrhs)
+        return self.solve(b, leaf=-(-rows // (1 << level)), layout=layout, nrhs=nrhs)
 
     def products(self, *xs: Column | str) -> DataFrame:
         """The system with ``ax array``: ``U (V' x) + D x`` for each column ``x``.

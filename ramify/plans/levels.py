@@ -63,7 +63,8 @@ def solve_by_levels(
     top = level if launch_level is None else launch_level
     if not 0 <= top <= level:
         raise ValueError(f"launch level {top} is outside 0..{level}")
-    part_rows, leaf = u.rows >> top, u.rows >> level
+    leaf = -(-u.rows // (1 << level))
+    part_rows = -(-u.rows // (1 << top))
     diagonal = Matrix(diag.df.selectExpr("i", "0 as j", "v"), diag.rows, 1)
     ub, vb, db, bb = (RowBlocks.from_matrix(m, top, part_rows) for m in (u, v, diagonal, b))
     folder = folder or RunFolder(u.df.sparkSession)

@@ -41,15 +41,19 @@ def part_seeds(spark: SparkSession, parts: int, **masters: int) -> DataFrame:
     return spark.range(parts).mapInArrow(draw, schema)
 
 
-def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0) -> DataFrame:
-    """``(i, row)`` of the parts in ``(part, seed)``: uniform [0, 1) draws plus ``offset``."""
+def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0, rows: int | None = None) -> DataFrame:
+    """``(i, row)`` of the parts in ``(part, seed)``: uniform [0, 1) draws plus ``offset``.
+
+    ``rows`` ends the last part early.
+    """
     step = max(1, DRAWS // cols)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seed in zip(batch.column("part").to_pylist(), batch.column("seed").to_pylist()):
-                for at in range(0, part_rows, step):
-                    n = min(step, part_rows - at)
+                own = part_rows if rows is None else max(0, min(part_rows, rows - part * part_rows))
+                for at in range(0, own, step):
+                    n = min(step, own - at)
                     values = uniform(seed, at * cols, n * cols).reshape(n, cols) + offset
                     first = part * part_rows + at
                     ids = pa.array(np.arange(first, first + n, dtype=np.int64))
@@ -59,9 +63,7 @@ def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0) ->
 
 
 def random_matrix(spark: SparkSession, rows: int, cols: int, parts: int, seed: int, offset: int = 0) -> Matrix:
-    if rows % parts:
-        raise ValueError(f"{rows} rows do not split into {parts} parts")
-    frame = seeded_rows(part_seeds(spark, parts, seed=seed), rows // parts, cols, offset)
+    frame = seeded_rows(part_seeds(spark, parts, seed=seed), -(-rows // parts), cols, offset, rows)
     m = Matrix.from_rows(frame, "i", "row", cols, rows)
     m.parts = parts
     return m

@@ -57,6 +57,6 @@ def test_seeded_system_repeats(spark):
     assert a == b and len(a) == 20 and min(r.d for r in a) >= 1000
 
 
-def test_rows_must_split_evenly(spark):
-    with pytest.raises(ValueError):
-        random_matrix(spark, 10, 2, 4, seed=1)
+def test_the_last_part_may_be_shorter(spark):
+    drawn = {r.i for r in random_vector(spark, 10, 4, seed=1).df.collect()}
+    assert drawn == set(range(10))

@@ -186,3 +186,45 @@ def test_errors(spark):
     with pytest.raises(Exception, match="singular system at part"):
         Hodlr(frame.withColumn("d", F.lit(0.0)), rank=3).solve("b", leaf=9, nrhs=1).count()
     assert is_power_of_two(8) and not is_power_of_two(6) and not is_power_of_two(0)
+
+
+def test_absent_entries_of_the_right_hand_side_are_zero(spark):
+    frame, a, _ = system(spark, 12, 2, shift=5.0)
+    b = np.zeros(12)
+    b[3], b[7] = 1.0, 2.0
+    given = spark.createDataFrame([(3, 1.0), (7, 2.0)], "i bigint, b double")
+    x = collected(Hodlr(frame, rank=2).solve(given, leaf=4), 12)
+    assert np.allclose(x[:, 0], np.linalg.solve(a, b), rtol=1e-12)
+
+
+@pytest.mark.parametrize("rows", [[(3, 1.0), (3, 2.0)], [(99, 1.0)]])
+def test_keys_of_the_right_hand_side_are_checked(spark, rows):
+    frame, _, _ = system(spark, 12, 2)
+    with pytest.raises(ValueError, match="right-hand side"):
+        Hodlr(frame, rank=2).solve(spark.createDataFrame(rows, "i bigint, b double"), leaf=4)
+
+
+def test_absent_entries_of_the_matrices_are_zero(spark):
+    rng = np.random.default_rng(3)
+    u, v = rng.random((12, 2)), rng.random((12, 2))
+    u[4], d = 0.0, rng.random(12) + 5
+    entries = lambda m: spark.createDataFrame([(i, j, float(m[i, j])) for i in range(12) for j in range(2) if m[i, j]], "i bigint, j int, v double")
+    diag = spark.createDataFrame([(i, float(d[i])) for i in range(12)], "i bigint, v double")
+    h = Hodlr.from_matrices(Matrix(entries(u), 12, 2), Matrix(entries(v), 12, 2), Vector(diag, 12))
+    b = rng.random(12)
+    given = spark.createDataFrame([(i, float(b[i])) for i in range(12)], "i bigint, b double")
+    x = collected(h.solve(given, leaf=4), 12)
+    assert np.allclose(x[:, 0], np.linalg.solve(u @ v.T + np.diag(d), b), rtol=1e-12)
+
+
+def test_kept_columns_stay_on_their_row_where_keys_repeat(spark):
+    frame, a, b = system(spark, 20, 3)
+    twice = frame.withColumn("row", F.col("i")).withColumn("i", F.col("i") % 10)
+    rows = {r.row: r.x[0] for r in Hodlr(twice, rank=3).solve("b", leaf=5, keep=["row"]).collect()}
+    assert np.allclose([rows[i] for i in range(20)], np.linalg.solve(a, b)[:, 0], rtol=1e-12)
+
+
+@pytest.mark.parametrize("n", [37, 499])
+def test_rows_that_do_not_divide(spark, n):
+    frame, a, b = system(spark, n, 3)
+    assert relative(a, collected(Hodlr(frame, rank=3).solve_levels("b", n, 3, 1), n), b) < 1e-13
