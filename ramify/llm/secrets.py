@@ -56,6 +56,10 @@ def _pieces(text: Column, pattern: str, group: int, kind: str) -> Column:
     return F.when(F.size(match) > 0, F.aggregate(parts, start, add)["found"]).otherwise(none)
 
 
+def _long(found: Column, least: int) -> Column:
+    return F.filter(found, lambda s: s["size"] >= least)
+
+
 def _spans(column: Column) -> Column:
     return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
@@ -114,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text", base: str = "base_spans", every: s
     """
     t = F.coalesce(F.col(text), F.lit(""))
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, [*BASE, "entropy"])), s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))
-    matched = {k: F.filter(_pieces(t, p, g, k), lambda s, n=n: s["size"] >= n) for k, (p, g, n) in BASE.items()}
+    matched = {k: _long(_pieces(t, p, g, k), n) for k, (p, g, n) in BASE.items()}
     out = docs.withColumns({f"__{k}": _spans(v) for k, v in matched.items()})
     out = out.withColumn(base, _spans(F.array_sort(F.transform(F.concat(*[F.col(f"__{k}") for k in BASE]), order))))
     out = out.drop(*[f"__{k}" for k in BASE])
