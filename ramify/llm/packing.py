@@ -27,7 +27,7 @@ WINDOW = 4096
 #: Pieces of a shard, on average. Padding is below one window per shard and that of best fit.
 SHARD_PIECES = 8192
 #: Words whose ids a task remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 
 
 #: Words of letters whose lower case and normal form are the same in every Unicode version.

@@ -62,6 +62,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
 def _farthest_first(sample: np.ndarray, count: int) -> np.ndarray:
     """Pivots: each the sampled vector farthest from those before it."""
     chosen, nearest = [0], np.full(len(sample), np.inf)
@@ -137,7 +142,7 @@ class PivotIndex:
                         norm = np.sqrt((x[lo:hi] ** 2).sum(1).max())
                         rows.append((int(pivot[lo]), int(ring[lo]), float(far[lo:hi].min()), float(far[lo:hi].max()), float(norm), ids[lo:hi].tobytes(), x[lo:hi].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["pivot", "ring", "near", "far", "norm", "ids", "xs"])
+                    yield _batch(rows, pivot=pa.int32(), ring=pa.int32(), near=pa.float64(), far=pa.float64(), norm=pa.float64(), ids=pa.binary(), xs=pa.binary())
 
         keyed = vectors.mapInArrow(key, "pivot int, ring int, far double, id long, v array<double>")
         ordered = keyed.repartitionByRange("pivot", "ring", "far", "id").sortWithinPartitions("pivot", "ring", "far", "id")
@@ -186,7 +191,7 @@ class PivotIndex:
                     cols = np.flatnonzero(wanted.any(0))
                     if len(cols):
                         rows = [(int(rings["pivot"][c]), int(rings["ring"][c]), ids[part][wanted[:, c]].tobytes(), q[part][wanted[:, c]].tobytes()) for c in cols]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["pivot", "ring", "qids", "qs"])
+                        yield _batch(rows, pivot=pa.int32(), ring=pa.int32(), qids=pa.binary(), qs=pa.binary())
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
