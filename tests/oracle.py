@@ -15,19 +15,21 @@ def connect(folder: str):
     return db
 
 
-KINDS = {"int64": "bigint", "int32": "int", "float64": "double", "bool": "boolean", "object": "string"}
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "BOOLEAN": "boolean", "VARCHAR": "string", "HUGEINT": "double"}
 
 
 def compare(spark_df, db, sql: str) -> str | None:
     """``None`` when equal, otherwise what differs."""
-    expected = db.execute(sql).df()
+    result = db.execute(sql)
+    stored = {d[0]: KINDS.get(str(d[1])) for d in result.description}
+    expected = result.df()
     got = spark_df.toPandas()
     names = sorted(got.columns)
     if names != sorted(expected.columns):
         return f"columns {names} != {sorted(expected.columns)}"
     if len(got) != len(expected):
         return f"{len(got)} rows != {len(expected)}"
-    kinds = {c: (dict(spark_df.dtypes)[c], KINDS.get(str(expected[c].dtype))) for c in names}
+    kinds = {c: (dict(spark_df.dtypes)[c], stored[c]) for c in names}
     wrong = {c: k for c, k in kinds.items() if k[0] != k[1]}
     if wrong:
         return f"types {wrong}"
@@ -35,5 +37,7 @@ def compare(spark_df, db, sql: str) -> str | None:
     b = expected[names].sort_values(names, ignore_index=True)
     if a.equals(b):
         return None
-    bad = (a != b).any(axis=1)
+    bad = ((a != b) & ~(a.isna() & b.isna())).any(axis=1)
+    if not bad.any():
+        return None
     return f"{int(bad.sum())} rows differ\n{pd.concat([a[bad].head(3), b[bad].head(3)])}"
