@@ -99,14 +99,14 @@ def hodlr_multi_rhs(spark, folder):
 
 @query("hodlr_irregular_leaves", KNOWN)
 def hodlr_irregular_leaves(spark, folder):
-    """The first part has ten times the rows and a ten times larger leaf (rank 16)."""
-    h = embedding_system(spark, folder, rank=16)
-    return first_x(h.solve("b", leaf=20, layout=heavy_layout("i", 20, 20, heavy=1), nrhs=1), "i")
+    """The first part has twice the rows and twice the leaf; every part holds two leaves."""
+    h = embedding_system(spark, folder)
+    return first_x(h.solve("b", leaf=70, layout=heavy_layout("i", 140, 70, heavy=1, factor=2), nrhs=1), "i")
 
 
 @query("hodlr_irregular_ranks", KNOWN)
 def hodlr_irregular_ranks(spark, folder):
-    """Two halves with ranks 16 and 32 and their own coupling factors."""
+    """Two halves with ranks 24 and 40, the columns of one each, and their own coupling factors."""
     table = read_table(spark, folder, "embeddings")
     n = table.count()
     wide = table.withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -117,7 +117,7 @@ def hodlr_irregular_ranks(spark, folder):
         (F.lit(1000.0) + F.col("vec_id") % 7).alias("d"),
         (F.col("label") + 1.0).alias("x"),
     ).join(moved, "i")
-    ranks = (16, 32)
+    ranks, first = (24, 40), (1, 25)
     sides = []
     for s in (0, 1):
         inside = F.col("i") < n // 2 if s == 0 else F.col("i") >= n // 2
@@ -126,9 +126,9 @@ def hodlr_irregular_ranks(spark, folder):
                 "i",
                 "d",
                 "x",
-                F.slice("e1", 1, ranks[s]).alias("u"),
-                F.slice("e2", 1, ranks[s]).alias("v"),
-                F.slice("e2", 17, ranks[1 - s]).alias("w"),
+                F.slice("e1", first[s], ranks[s]).alias("u"),
+                F.slice("e2", first[s], ranks[s]).alias("v"),
+                F.slice("e2", first[1 - s], ranks[1 - s]).alias("w"),
             )
         )
     vtx = [array_sums(side, F.col("v"), [F.col("x")], ranks[s]) for s, side in enumerate(sides)]
