@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.llm import decontaminate, langid, lm, packing, quality, secrets, simhash, suffixes, topk, warc
+from ramify.llm.secret_sql import secret_sql
 from ramify.session import RunFolder, ship_package
 from ramify.sources.tables import read_table
 
@@ -130,7 +131,7 @@ def op8_hmm(spark: SparkSession, folder: str) -> DataFrame:
     return model.score()
 
 
-@query("op9_secrets")
+@query("op9_secrets", secret_sql())
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""
     found = secrets.scan(read_table(spark, folder, "documents").select("doc_id", "text"))
