@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ramify.llm import simhash, suffixes, topk
 from ramify.llm.components import components
 
@@ -217,3 +218,44 @@ def test_wide_fingerprints_find_similar_texts(spark):
     groups = simhash.near_duplicates(prints, simhash.sparse_grid(8), simhash.radius_for(0.8, 512, 0.0))
     got = {r.id: r.component for r in prints.join(groups, "fp").collect()}
     assert got == {i: i - i % 2 for i in range(60)}
+
+
+def five_words(text):
+    parts = text.lower().split()
+    return {" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    common, docs = say(40), []
+    for i in range(120):  # pairs around 0.8, on both sides
+        base = say(rng.choice([60, 150, 200])) + (common if i % 3 == 0 else [])
+        near = list(base)
+        for _ in range(rng.randint(2, 4) * len(base) // 150 + 1):
+            near[rng.randrange(len(base))] = rng.choice(["Changed", "other"])
+        docs += [" ".join(base), " ".join(near)]
+    whole = say(150)
+    for _ in range(40):  # one group of near copies
+        near = list(whole)
+        near[rng.randrange(150)] = say(1)[0]
+        docs.append(" ".join(near))
+    for k in range(10, 21):  # planted at and just below 0.8: n shared shingles of n + k
+        docs += [" ".join(x := say(84)), " ".join([*x, *say(k)])]
+    docs += ["", None, "  ", "a b", "A  b", "a b c", docs[0], docs[5].upper()]
+    sets = [five_words(t or "") for t in docs]
+    edges, values = [], []
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if s == sets[j] or 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                edges.append((i, j))
+            values.append(both / max(1, len(s | sets[j])))
+    assert sum(0.8 <= v <= 0.85 for v in values) > 20 and sum(0.74 <= v < 0.8 for v in values) > 20
+    root = list(range(len(docs)))
+    for _ in range(len(docs)):
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect())
+    assert got == sorted(set(root))
