@@ -117,6 +117,26 @@ def test_repeats_are_removed_exactly(spark, repeating, how):
     assert got == removed(repeating)
 
 
+def test_a_cold_anchor_that_ends_a_text_is_no_single_string(spark):
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hot, docs, tails = say(120), [], 0
+    while tails < 30:
+        passage = say(50)
+        data = (say(60) + passage).encode()
+        _, at, _ = suffixes.anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        inside = at[at >= 60]
+        if len(inside) == 1 and inside[0] == 60 + 50 - suffixes.GRAM:  # the only anchor is the last gram
+            docs += [say(80) + passage + say(80), hot + say(60) + passage]
+            tails += 1
+    docs += [hot + say(30) for _ in range(30)]
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = suffixes.remove_repeats(frame, [F.col("doc_id")], hot=2, slice_rows=8)
+    cells = [F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"), F.size("spans"), F.sha2("kept", 256)]
+    assert sorted((tuple(r) for r in found.select("doc_id", "n_bytes", *cells).collect()), key=str) == removed(docs)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), [F.col("doc_id")]).count() == 0
 
