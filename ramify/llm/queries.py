@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, langid, lm, packing, quality, secrets, simhash, suffixes, topk, warc
+from ramify.llm import decontaminate, langid, lm, packing, phrases, quality, secrets, simhash, suffixes, topk, urlfilter, warc
+from ramify.llm.filter_sql import filter_sql
 from ramify.llm.secret_sql import secret_sql
 from ramify.session import RunFolder, ship_package
 from ramify.sources.tables import read_table
@@ -145,3 +146,16 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Importance of every document, and whether the sample takes it."""
     sampler = quality.Sampler(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
     return sampler.scores.select("doc_id", F.col("__mean").alias("weight"), F.col("__key").alias("sample_key"), sampler.taken().alias("keep"))
+
+
+@query("op12_urlfilter", filter_sql())
+def op12_urlfilter(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule and verdict of every page's URL."""
+    judged = urlfilter.judge(read_table(spark, folder, "pages").select("page_id", "url"), "url", urlfilter.rule_table(spark, urlfilter.production_rules()))
+    return judged.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "pattern", "verdict")])
+
+
+@query("op13_collocations", phrases.PLAIN_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return phrases.mine(read_table(spark, folder, "documents"))

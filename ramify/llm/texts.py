@@ -57,9 +57,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word ``[^\\x20\\x09-\\x0D]+``; rows never share a word."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word ``[^\\x20\\x09-\\x0D]+``, or run of bytes not in ``space``; rows never share a word."""
+    inside = ~space[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -71,12 +71,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, row) of every word, A-Z as a-z: differences of running polynomial sums."""
+    """(64-bit hash, row) of every word, A-Z as a-z."""
     start, end, row = words(data, offsets)
+    return run_hashes(data, start, end), row
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes, A-Z as a-z: differences of running polynomial sums."""
     summed = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=summed[1:])
     raw = (summed[end] - summed[start]) * powers(_INVERSE, len(data))[start] if len(start) else summed[:0]
-    return mixed(raw ^ (end - start).astype(np.uint64)), row
+    return mixed(raw ^ (end - start).astype(np.uint64))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[data]
 
 
 def bounds(rows: np.ndarray, n: int) -> np.ndarray:
