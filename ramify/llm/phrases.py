@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ramify.llm.texts import lowered, mixed, pieces, ragged, run_hashes, words
+from ramify.llm.texts import lowered, mixed, ragged, run_hashes, runs, words
 from ramify.session import RunFolder
 
 #: One document in so many proposes, with at least so many occurrences there.
@@ -133,19 +133,8 @@ def _batch(lang: pa.Array, k: int, phrase: pa.Array, h: np.ndarray, c: np.ndarra
 
 def _runs(texts: pa.Array, langs: np.ndarray) -> Iterator[tuple[int, int, Run]]:
     """(first row, after last, run); a text longer than a run is cut between words, with two words beyond each cut."""
-    for first, last, data, offsets in pieces(texts, RUN_BYTES):
-        if len(data) <= 2 * RUN_BYTES:
-            yield first, last, Run(data, offsets, langs[first:last])
-            continue
-        # longer than the limit, so of one row
-        start, end, _ = words(data, offsets, _IS_SPACE)
-        lo = 0
-        while lo < len(start):
-            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + RUN_BYTES)))
-            beyond = min(len(start), hi + 2)
-            part = data[start[lo] : end[beyond - 1]]
-            yield first, last, Run(part, np.array([0, len(part)]), langs[first:last], hi - lo)
-            lo = hi
+    for first, last, data, offsets, own in runs(texts, _IS_SPACE, RUN_BYTES, 2):
+        yield first, last, Run(data, offsets, langs[first:last], own)
 
 
 def _pass(docs: DataFrame, now: Proposals | None, old: Proposals | None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, langid, lm, packing, phrases, quality, secrets, simhash, suffixes, topk, urlfilter, warc
+from ramify.llm import decontaminate, langid, lm, packing, phrases, quality, ranking, secrets, simhash, suffixes, topk, urlfilter, warc
 from ramify.llm.filter_sql import filter_sql
 from ramify.llm.secret_sql import secret_sql
 from ramify.session import RunFolder, ship_package
@@ -148,6 +148,13 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return sampler.scores.select("doc_id", F.col("__mean").alias("weight"), F.col("__key").alias("sample_key"), sampler.taken().alias("keep"))
 
 
+@query("op11_lexical_search", ranking.PLAIN_SQL)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    found = ranking.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 @query("op12_urlfilter", filter_sql())
 def op12_urlfilter(spark: SparkSession, folder: str) -> DataFrame:
     """The rule and verdict of every page's URL."""

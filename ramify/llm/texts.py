@@ -98,3 +98,23 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... (count[0] numbers), first[1], ..."""
     ends = np.cumsum(count)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
+
+
+def runs(column: pa.Array, space: np.ndarray, limit: int = PIECE_BYTES, beyond: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int | None]]:
+    """``pieces``, with a text of more than ``2 limit`` bytes cut between words (runs of bytes not in ``space``).
+
+    A cut text has ``beyond`` words of the next part at the end of each; the last value is the number of words
+    before them, None where nothing was cut.
+    """
+    for first, last, data, offsets in pieces(column, limit):
+        if len(data) <= 2 * limit:
+            yield first, last, data, offsets, None
+            continue
+        # longer than the limit, so of one row
+        start, end, _ = words(data, offsets, space)
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + limit)))
+            part = data[start[lo] : end[min(len(start), hi + beyond) - 1]]
+            yield first, last, part, np.array([0, len(part)]), min(hi, len(start)) - lo
+            lo = hi
