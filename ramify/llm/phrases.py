@@ -2,15 +2,16 @@
 
 A phrase is frequent where it occurs ``least`` times.  A sample of the documents proposes words and
 pairs of words; a phrase belongs to the proposals or their negative border where all its shorter
-parts are proposed.  One full pass counts exactly these, so whatever of the border turns out
+parts are proposed.  One full pass counts all of these, so whatever of the border turns out
 frequent is known: it joins the proposals, and a further pass counts what its joining admits, until
 a pass finds nothing new.  As every part of a frequent phrase is frequent, no frequent phrase is
 missed, whatever the sample was.
 
-Proposals reach the tasks as bit maps of hashes of bounded size.  A hash that is set by chance only
-has a phrase counted that need not be; phrases themselves are counted by their text.  Tasks count
-within runs of text before anything is shuffled, so a very common phrase is one row a run.  Inside
-one run of about ``RUN_BYTES`` phrases are told apart by 64-bit hashes.
+These passes count hashes, packed by bucket; proposals reach the tasks as bit maps of hashes of bounded size.
+Both err on one side: phrases whose hashes agree are counted together, and a bit set by chance
+only has a phrase counted that need not be.  A last pass counts what was found frequent by its text, so the
+counts are exact.  Tasks count within runs of text before anything is shuffled, so a very common
+phrase is one row a run.  Inside one run of about ``RUN_BYTES`` phrases are told apart by 64-bit hashes.
 
 A candidate is scored by its weakest cut.  All arithmetic is in whole numbers.
 """
@@ -18,20 +19,19 @@ A candidate is scored by its weakest cut.  All arithmetic is in whole numbers.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ramify.llm.hashcounts import PACKED, bucket_bits, merged, packed
 from ramify.llm.texts import lowered, mixed, ragged, run_hashes, runs, words
 from ramify.session import RunFolder
 
 #: One document in so many proposes, with at least so many occurrences there.
-SAMPLE_PART, SAMPLE_LEAST = 4, 2
+SAMPLE_PART, SAMPLE_LEAST = 4, 3
 #: Text counted at once, in bytes.
 RUN_BYTES = 1 << 20
 #: Bits of a map of proposals, as a power of two.
@@ -46,35 +46,10 @@ _IS_SPACE[list(_BREAK + _BLANK)] = True
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-@dataclass
-class Proposals:
-    """Bit maps of the hashes of proposed words and of proposed pairs."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-
-    @staticmethod
-    def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
-        return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) > 0
-
-    @staticmethod
-    def of(frequent: DataFrame, power: int) -> Proposals:
-        """Maps of ``2 ** power`` bits of (k, h) rows; the rows themselves stay where they are."""
-        at = F.shiftrightunsigned("h", 64 - power)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-        cells = frequent.where(F.col("k").between(1, 2)).groupBy("k", F.shiftright(at, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        maps = [np.zeros(1 << (power - 6), np.uint64) for _ in range(2)]
-        k, cell, bits = (cells.column(c).to_numpy() for c in ("k", "cell", "bits"))
-        for i, m in enumerate(maps):
-            m[cell[k == i + 1]] = bits[k == i + 1].view(np.uint64)
-        return Proposals(*maps)
-
-    def __or__(self, other: Proposals) -> Proposals:
-        return Proposals(self.words | other.words, self.pairs | other.pairs)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Proposals) and np.array_equal(self.words, other.words) and np.array_equal(self.pairs, other.pairs)
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    at = h >> np.uint64(64 - (len(bits) * 64 - 1).bit_length())
+    return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) > 0
 
 
 class Run:
@@ -102,33 +77,35 @@ class Run:
             self.together.append(self.together[-1][:n] & next_[k - 1 :][:n])
             self.hashes.append(mixed(sum((word[i : i + n] * _FACTORS[(i + k) % 3] + np.uint64(i + k) for i in range(k + 1)), np.zeros(n, np.uint64))))
 
-    def chosen(self, k: int, parts: np.ndarray | None, old: np.ndarray | None) -> np.ndarray:
-        """First words of phrases of k words with both parts in ``parts``, and not both in ``old``."""
+    def admitted(self, k: int, now: np.ndarray | None = None, old: np.ndarray | None = None) -> np.ndarray:
+        """First words of phrases of k words whose two parts are in the map ``now``, but not both in ``old``."""
         good = self.together[k - 1].copy()
         good[self.own :] = False
-        if k > 1 and parts is not None:
-            h = self.hashes[k - 2]
-            now = Proposals.has(parts, h)
-            good &= now[: len(good)] & now[1 : len(good) + 1]
-            if old is not None:
-                before = Proposals.has(old, h)
-                good &= ~(before[: len(good)] & before[1 : len(good) + 1])
+        for bits, wanted in ((now, True), (old, False)):
+            if k > 1 and bits is not None:
+                part = has(bits, self.hashes[k - 2])
+                good &= (part[: len(good)] & part[1 : len(good) + 1]) == wanted
         return np.flatnonzero(good)
 
+    def proposed(self, k: int, bits: np.ndarray) -> np.ndarray:
+        """First words of phrases of k words that are in the map."""
+        at = self.admitted(k)
+        return at[has(bits, self.hashes[k - 1][at])]
+
     def counted(self, k: int, at: np.ndarray, names: pa.Array) -> pa.RecordBatch:
-        """(lang, k, phrase, h, c) of the distinct phrases of k words that start at ``at``."""
-        h, first, count = np.unique(self.hashes[k - 1][at], return_index=True, return_counts=True)
+        """(lang, k, phrase, c) of the distinct phrases of k words that start at ``at``."""
+        _, first, count = np.unique(self.hashes[k - 1][at], return_index=True, return_counts=True)
         at = at[first]
         lo, hi = self.start[at], self.end[at + k - 1]
         edges = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
         body = self.text[ragged(lo, hi - lo)]
         phrase = pa.StringArray.from_buffers(len(at), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(body)))
-        return _batch(names.take(pa.array(self.row[at])), k, phrase, h.view(np.int64), count)
+        return _batch(names.take(pa.array(self.row[at])), k, phrase, count)
 
 
-def _batch(lang: pa.Array, k: int, phrase: pa.Array, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    columns = [lang, pa.array(np.full(len(c), k, np.int32)), phrase, pa.array(h), pa.array(c.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "h", "c"])
+def _batch(lang: pa.Array, k: int, phrase: pa.Array, c: np.ndarray) -> pa.RecordBatch:
+    columns = [lang, pa.array(np.full(len(c), k, np.int32)), phrase, pa.array(c.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "c"])
 
 
 def _runs(texts: pa.Array, langs: np.ndarray) -> Iterator[tuple[int, int, Run]]:
@@ -137,32 +114,61 @@ def _runs(texts: pa.Array, langs: np.ndarray) -> Iterator[tuple[int, int, Run]]:
         yield first, last, Run(data, offsets, langs[first:last], own)
 
 
-def _pass(docs: DataFrame, now: Proposals | None, old: Proposals | None) -> DataFrame:
-    """Counts (lang, k, phrase, h, c): what ``now`` admits and ``old`` did not; k = 0 has the number of words.
+def _frequent_hashes(docs: DataFrame, least: int, bits: int, power: int, now: list[np.ndarray] | None, old: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Maps by number of words: hashes with ``least`` occurrences among what ``now`` admits and ``old`` did not.
 
-    Without ``now`` words and pairs of any kind are counted.
+    Without ``now`` words and pairs of any kind are counted; with ``old`` words are not, as they were before.
     """
     given = docs.sparkSession.sparkContext.broadcast((now, old))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = given.value
+        for batch in batches:
+            for _, _, run in _runs(batch.column("text"), _codes(batch.column("lang"))):
+                for k in (1, 2, 3) if now else (1, 2):
+                    if k == 1 and old:
+                        continue
+                    at = run.admitted(k, now[k - 2] if now and k > 1 else None, old[k - 2] if old else None)
+                    bucket, codes, counts = packed(run.hashes[k - 1][at], bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), k, np.int32)), bucket, codes, counts], names=["k", "bucket", "codes", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        codes, counts = merged(table)
+        set_ = np.zeros(1 << (power - bits), bool)
+        set_[codes[counts >= least].astype(np.int64) >> (32 - (power - bits))] = True
+        one = table.slice(0, 1).select(["k", "bucket"])
+        return one.append_column("bits", pa.array([np.packbits(set_, bitorder="little").tobytes()], pa.binary()))
+
+    found = docs.mapInArrow(send, f"k int, {PACKED}").groupBy("k", "bucket").applyInArrow(count, "k int, bucket long, bits binary")
+    maps, size = [np.zeros(1 << (power - 6), np.uint64) for _ in range(3)], 1 << (power - bits - 3)
+    for batch in found.toArrow().to_batches():
+        for k, bucket, cells in zip(*(batch.column(c).to_pylist() for c in ("k", "bucket", "bits")), strict=True):
+            maps[k - 1].view(np.uint8)[bucket * size : (bucket + 1) * size] = np.frombuffer(cells, np.uint8)
+    return maps
+
+
+def _codes(langs: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x.as_py()) for x in langs), np.uint64, len(langs))
+
+
+def _counted(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """Counts (lang, k, phrase, c) of the phrases in the maps; k = 0 has the number of words."""
+    given = docs.sparkSession.sparkContext.broadcast(maps)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = given.value
         for batch in batches:
             names = batch.column("lang")
-            codes = np.fromiter((xxhash.xxh64_intdigest(x.as_py()) for x in names), np.uint64, len(names))
-            for first, last, run in _runs(batch.column("text"), codes):
+            for first, last, run in _runs(batch.column("text"), _codes(names)):
                 own = names.slice(first, last - first)
-                if old is None:
-                    each = pa.table({"lang": own.take(pa.array(run.row[: run.own]))}).group_by("lang").aggregate([([], "count_all")])
-                    n = each.column("count_all").to_numpy()
-                    zero = np.zeros(len(n), np.int64)
-                    yield _batch(each.column("lang").combine_chunks(), 0, pa.array([""] * len(n), pa.string()), zero, n)
-                    yield run.counted(1, run.chosen(1, None, None), own)
-                yield run.counted(2, run.chosen(2, now and now.words, old and old.words), own)
-                if now is not None:
-                    yield run.counted(3, run.chosen(3, now.pairs, old and old.pairs), own)
+                row, n = np.unique(run.row[: run.own], return_counts=True)
+                each = pa.table({"lang": own.take(pa.array(row)), "n": n}).group_by("lang").aggregate([("n", "sum")])
+                yield _batch(each.column("lang").combine_chunks(), 0, pa.array([""] * len(each), pa.string()), each.column("n_sum").to_numpy())
+                for k in (1, 2, 3):
+                    yield run.counted(k, run.proposed(k, maps[k - 1]), own)
 
-    rows = docs.mapInArrow(count, "lang string, k int, phrase string, h long, c long")
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"), F.min("h").alias("h"))
+    rows = docs.mapInArrow(count, "lang string, k int, phrase string, c long")
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
 
 
 def frequent(docs: DataFrame, text: str, lang: str, key: list[Column], least: int) -> DataFrame:
@@ -171,22 +177,22 @@ def frequent(docs: DataFrame, text: str, lang: str, key: list[Column], least: in
     ``key`` decides which documents are in the sample.  A null text is empty, a null language ``und``.
     """
     wanted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.xxhash64(*key, text).alias("key"))
-    folder, kept = RunFolder(docs.sparkSession), F.col("c") >= least
-    some = _pass(wanted.where(F.pmod("key", F.lit(SAMPLE_PART)) == 0).select("text", "lang"), None, None)
-    some = folder.cut(some.where((F.col("k") > 0) & (F.col("c") >= SAMPLE_LEAST)), "sample")
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * some.count()).bit_length()))
-    now, old, found = Proposals.of(some, power), None, []
+    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    every, some = wanted.select("text", "lang"), wanted.where(F.pmod("key", F.lit(SAMPLE_PART)) == 0).select("text", "lang")
+    bits = bucket_bits(size // 6)
+    # a phrase that is frequent takes that many words or more
+    power = max(bits + 6, min(MOST_BITS, max(LEAST_BITS, (size // least).bit_length())))
+    now, old, found = _frequent_hashes(some, SAMPLE_LEAST, bits, power, None, None), None, None
     while True:
-        counted = folder.cut(_pass(wanted.select("text", "lang"), now, old).where(kept | (F.col("k") == 0)), f"pass{len(found)}")
-        found.append(counted)
-        more = now | Proposals.of(counted, power)
-        if more == now:
+        new = _frequent_hashes(every, least, bits, power, now, old)
+        found = new if found is None else [x | y for x, y in zip(found, new, strict=True)]
+        more = [x | y for x, y in zip(now, new, strict=True)]
+        # longer phrases admit nothing
+        if all(np.array_equal(x, y) for x, y in zip(now[:2], more[:2], strict=True)):
             break
         now, old = more, now
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    return every.select("lang", "k", "phrase", "c")
+    counts = _counted(every, found)
+    return RunFolder(docs.sparkSession).cut(counts.where((F.col("c") >= least) | (F.col("k") == 0)), "phrases")
 
 
 def collocations(phrases: DataFrame, weight: int = 50) -> DataFrame:
