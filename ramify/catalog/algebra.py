@@ -290,12 +290,14 @@ def mat_mat_gram(spark, folder):
 
 @query(
     "mat_mat_tall",
-    BASE + "SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM E a JOIN E b ON a.j = b.j AND b.i < 16 GROUP BY a.i, b.i",
+    BASE
+    + """, P AS (SELECT E.j AS k, V.j, sum(E.v * V.v) AS v FROM E JOIN V USING (i) GROUP BY 1, 2)
+SELECT E.i, P.j, round(sum(E.v * P.v), 6) + 0.0 AS v FROM E JOIN P ON E.j = P.k GROUP BY 1, 2""",
 )
 def mat_mat_tall(spark, folder):
-    """All embedding rows times a 64-by-16 matrix made of the first sixteen rows."""
-    e = Known(spark, folder).u
-    return entries(e * e.row_block(0, 16).T)
+    """All embedding rows times the 64-by-64 matrix ``E'V`` made of all rows."""
+    known = Known(spark, folder)
+    return entries(known.u * (known.u.T * known.v))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.functions.algebra import Matrix, Vector
-from ramify.operators.blocks import RowBlocks
+from ramify.operators.blocks import Partition, RowBlocks
 from ramify.session import ship_package
 from ramify.sources.tables import read_table
 
@@ -78,8 +78,11 @@ class Known:
 
     @property
     def level(self) -> int:
-        """Levels of the regular tree with leaves of at most ``leaf`` rows."""
-        return max(0, (-(-self.n // self.leaf) - 1).bit_length())
+        """Levels of the deepest regular tree whose leaves have more rows than the rank."""
+        level = 0
+        while -(-self.n // (2 << level)) > self.rank:
+            level += 1
+        return level
 
     @cached_property
     def u(self) -> Matrix:
@@ -124,11 +127,11 @@ def column_matrix(x: Vector) -> Matrix:
     return Matrix(x.df.select("i", F.lit(0).alias("j"), "v"), x.rows, 1)
 
 
-def quarters(m: Matrix) -> RowBlocks:
-    """Four row parts."""
-    return RowBlocks.from_matrix(m, 2)
+def quarters(*ms: Matrix) -> RowBlocks | list[RowBlocks]:
+    """Four row parts; several matrices share one storage."""
+    return RowBlocks.from_matrix(ms[0], 2) if len(ms) == 1 else RowBlocks.together(ms, 2)
 
 
-def leaves(m: Matrix, rows: int) -> RowBlocks:
-    """Parts of at most ``rows`` rows, each in one block."""
-    return RowBlocks.from_matrix(m, block_rows=rows, parts=-(-m.rows // rows))
+def leaves(*ms: Matrix, rows: int) -> list[RowBlocks]:
+    """Parts of exactly ``rows`` rows, each in one block, only the last one shorter."""
+    return RowBlocks.together(ms, block_rows=rows, cut=Partition.of_size(ms[0].rows, rows))

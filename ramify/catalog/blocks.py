@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ramify.catalog.base import (
@@ -15,7 +17,7 @@ from ramify.catalog.base import (
     rounded,
 )
 from ramify.functions.algebra import Matrix, Vector
-from ramify.operators.blocks import RowBlocks, node_solve_ragged
+from ramify.operators.blocks import RowBlocks, node_sides, node_solve_ragged
 from ramify.plans.hodlr import heavy_layout
 from ramify.plans.levels import LevelStorage
 from ramify.sources.tables import read_table
@@ -154,7 +156,7 @@ def mat_clear(spark, folder):
 )
 def mat_axpby(spark, folder):
     known = Known(spark, folder)
-    u, v = quarters(known.u), quarters(known.v)
+    u, v = quarters(known.u, known.v)
     return shown(RowBlocks.add(2.0, u, -0.5, v))
 
 
@@ -172,7 +174,7 @@ def dense_blocks(spark, folder):
     known = Known(spark, folder)
     u, v, d = known.u, known.v, column_matrix(known.d)
     size = known.leaf
-    k = RowBlocks.dense_blocks(*(leaves(m, size) for m in (u, v, d)))
+    k = RowBlocks.dense_blocks(*leaves(u, v, d, rows=size))
     own = F.least(F.lit(size), F.lit(known.n) - F.expr(f"i div {size}") * size)  # the last leaf may be shorter
     return k.entries().where(F.col("j") < own).select(
         F.expr(f"i div {size}").alias("p"), "i", F.col("j").alias("k"), rounded("v").alias("v")
@@ -186,7 +188,7 @@ FROM V JOIN E USING (i), N GROUP BY 1, 2, 3"""
 @query("gemm_reduce", GEMM_RED.format(color=2))
 def gemm_reduce(spark, folder):
     known = Known(spark, folder)
-    v, u = quarters(known.v), quarters(known.u)
+    v, u = quarters(known.v, known.u)
     return by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=2), "node")
 
 
@@ -198,7 +200,7 @@ round(sum(V.v * E.v), 6) + 0.0 AS v FROM V JOIN E USING (i), N GROUP BY 1, 2, 3,
 )
 def gemm_reduce_two_level(spark, folder):
     known = Known(spark, folder)
-    v, u = quarters(known.v), quarters(known.u)
+    v, u = quarters(known.v, known.u)
     w = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4, levels=2))
     return w.select(F.expr("part div 2").alias("node"), F.expr("part % 2").alias("side"), "i", "j", "v")
 
@@ -212,7 +214,7 @@ SELECT l AS level, part >> (2 - l) AS node, i, j, round(sum(v), 6) + 0.0 AS v FR
 def spmd_level_sum(spark, folder):
     """Part sums combined into the nodes of each coarser level."""
     known = Known(spark, folder)
-    v, u = quarters(known.v), quarters(known.u)
+    v, u = quarters(known.v, known.u)
     part = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4), digits=15)
     level = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
     sums = part.withColumn("level", level).groupBy(
@@ -224,23 +226,23 @@ def spmd_level_sum(spark, folder):
 @query("gemm_single", GEMM_RED.format(color=4).replace("AS node", "AS part").replace("// 4 AS", "* 0 AS"))
 def gemm_single(spark, folder):
     known = Known(spark, folder)
-    v, u = quarters(known.v), quarters(known.u)
+    v, u = quarters(known.v, known.u)
     return by_part(RowBlocks.gemm("t", "n", 1.0, v, u))
 
 
 @query(
     "gemm_alpha_beta",
     BASE
-    + """, P AS (SELECT V.j AS i, E.j AS j, sum(V.v * E.v) AS v FROM V JOIN E USING (i) GROUP BY 1, 2)
-SELECT i, j, round(2.0::DOUBLE * P.v - 0.5::DOUBLE * E.v, 6) + 0.0 AS v FROM P JOIN E USING (i, j)""",
+    + """, P AS (SELECT V.j AS i, E.j AS j, sum(V.v * E.v) AS v FROM V JOIN E USING (i) GROUP BY 1, 2),
+C AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM E a JOIN E b USING (i) GROUP BY 1, 2)
+SELECT i, j, round(2.0::DOUBLE * P.v - 0.5::DOUBLE * C.v, 6) + 0.0 AS v FROM P JOIN C USING (i, j)""",
 )
 def gemm_alpha_beta(spark, folder):
-    """``2 V'U - 0.5 C`` with C the leading square block of E."""
+    """``2 V'U - 0.5 C`` with ``C = U'U``, all three from all rows."""
     known = Known(spark, folder)
-    u, v = known.u, known.v
-    product = RowBlocks.gemm("t", "n", 1.0, quarters(v), quarters(u))
-    c = RowBlocks.from_matrix(u.row_block(0, u.cols), 0, product.block_rows)
-    return shown(RowBlocks.add(2.0, product, -0.5, c))
+    u, v = quarters(known.u, known.v)
+    c = RowBlocks.gemm("t", "n", 1.0, u, u)
+    return shown(RowBlocks.gemm("t", "n", 2.0, v, u, -0.5, c))
 
 
 @query(
@@ -252,40 +254,40 @@ SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM P a JOIN P b
 def gemm_transposed(spark, folder):
     """Sum over the leaves of ``E_p E_p'``."""
     known = Known(spark, folder)
-    b = leaves(known.u, known.leaf)
+    (b,) = leaves(known.u, rows=known.leaf)
     return shown(RowBlocks.gemm_red("n", "t", 1.0, b, b))
 
 
 GROUPED = """, W AS (SELECT (V.i // ((n + 3) // 4)) // {color} AS node, V.j AS k, E.j AS j, sum(V.v * E.v) AS w
-FROM V JOIN E USING (i), N WHERE V.j < 16 AND E.j BETWEEN 16 AND 31 GROUP BY 1, 2, 3),
+FROM V JOIN E USING (i), N WHERE V.j < {half} AND E.j >= 64 - {half} GROUP BY 1, 2, 3),
 P AS (SELECT E.i, W.j AS j, sum(E.v * W.w) AS p FROM E JOIN N ON true JOIN W ON W.node = (E.i // ((n + 3) // 4)) // {color} AND W.k = E.j
 GROUP BY 1, 2)
 """
 
 
-@query("gemm_broadcast", BASE + GROUPED.format(color=2) + "SELECT i, j - 16 AS j, round(p, 6) + 0.0 AS v FROM P")
+@query("gemm_broadcast", BASE + GROUPED.format(color=2, half=64) + "SELECT i, j, round(p, 6) + 0.0 AS v FROM P")
 def gemm_broadcast(spark, folder):
-    """``W_p = U_p B_node(p)`` into separate storage."""
+    """``W_p = U_p B_node(p)`` into separate storage, over all columns."""
     known = Known(spark, folder)
-    u, v = quarters(known.u), quarters(known.v)
-    b = RowBlocks.gemm_red("t", "n", 1.0, v.window(0, 16), u.window(16, 16), parts=2)
-    w = RowBlocks.zeros(spark, u.rows, 16, 2, u.block_rows)
-    return shown(RowBlocks.gemm_bro("n", "n", 1.0, u.window(0, 16), b, 0.0, w))
+    u, v = quarters(known.u, known.v)
+    b = RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=2)
+    w = RowBlocks.zeros(spark, u.rows, 64, 2, u.block_rows)
+    return shown(RowBlocks.gemm_bro("n", "n", 1.0, u, b, 0.0, w))
 
 
 @query(
     "gemm_inplace",
     BASE
-    + GROUPED.format(color=4)
+    + GROUPED.format(color=4, half=32)
     + "SELECT i, j, round(E.v - coalesce(p, 0), 6) + 0.0 AS v FROM E LEFT JOIN P USING (i, j)",
 )
 def gemm_inplace(spark, folder):
-    """``C -= A B`` with A and C windows of one storage."""
+    """``C -= A B`` with A and C the two halves of one storage."""
     known = Known(spark, folder)
-    u, v = quarters(known.u), quarters(known.v)
-    b = RowBlocks.gemm("t", "n", 1.0, v.window(0, 16), u.window(16, 16))
-    c = RowBlocks.gemm_inplace(-1.0, u.window(0, 16), b, u.window(16, 16))
-    return shown(c.window(0, 64))
+    u, v = quarters(known.u, known.v)
+    b = RowBlocks.gemm("t", "n", 1.0, v.window(v.col0, 32), u.window(u.col0 + 32, 32))
+    c = RowBlocks.gemm_inplace(-1.0, u.window(u.col0, 32), b, u.window(u.col0 + 32, 32))
+    return shown(c.window(u.col0, 64))
 
 
 # -- small solves -------------------------------------------------------------
@@ -297,7 +299,7 @@ def dense_lu_solve(spark, folder):
     known = Known(spark, folder)
     u, v, d = known.u, known.v, column_matrix(known.d)
     x = column_matrix(known.x)
-    ub, vb, db, xb = (leaves(m, known.leaf) for m in (u, v, d, x))
+    ub, vb, db, xb = leaves(u, v, d, x, rows=known.leaf)
     k = RowBlocks.dense_blocks(ub, vb, db)
     b = RowBlocks.gemm_red("n", "n", 1.0, k, xb, parts=k.parts)
     return k.leaf_solve(b).to_vector().df.select("i", rounded("v").alias("x"))
@@ -313,10 +315,12 @@ def part_solve(spark, folder):
     u, v, d = known.u, known.v, column_matrix(known.d)
     x = column_matrix(known.x)
     size = 2 * known.leaf
-    ub, vb, db, xb = (leaves(m, size) for m in (u, v, d, x))
-    vtx = RowBlocks.gemm_red("t", "n", 1.0, vb, xb, parts=vb.parts)
     dx = Matrix(known.d.multiply(known.x).diagonal().df.selectExpr("i", "0 as j", "v"), u.rows, 1)
-    b = RowBlocks.gemm_bro("n", "n", 1.0, ub, vtx, 1.0, leaves(dx, size))
+    ub, vb, db, xb, dxb = leaves(u, v, d, x, dx, rows=size)
+    vtx = RowBlocks.gemm_red("t", "n", 1.0, vb, xb, parts=vb.parts)
+    # b takes the place of d x in the storage of the rest
+    b = RowBlocks.gemm_bro("n", "n", 1.0, ub, vtx, 1.0, dxb)
+    ub, vb, db = (replace(b, col0=m.col0, ncols=m.cols) for m in (ub, vb, db))
     w = RowBlocks.part_solve(ub, vb, db, b, leaf=known.leaf)
     return w.window(0, 1).to_vector().df.select("i", rounded("v").alias("x"))
 
@@ -334,7 +338,7 @@ def node_solve_rank_one(spark, folder):
     """Rank one, where Cramer's rule gives the answer in SQL."""
     known = Known(spark, folder)
     u = quarters((1 / 1000) * known.u.block(0, known.u.rows, 0, 1))
-    v, x = quarters(known.v.block(0, u.rows, 0, 1)), quarters(column_matrix(known.x))
+    v, x = quarters(known.v.block(0, u.rows, 0, 1), column_matrix(known.x))
     vtu = RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4, levels=2)
     vtd = RowBlocks.gemm_red("t", "n", 1.0, v, x, parts=4, levels=2)
     eta = RowBlocks.node_solve(vtu, vtd).to_vector().df
@@ -352,7 +356,8 @@ def node_solve_known(spark, folder):
     known = Known(spark, folder)
     u, v = known.u, known.v
     r = u.cols
-    vtu = RowBlocks.gemm_red("t", "n", 0.001, quarters(v), quarters(u), parts=4, levels=2)
+    vb, ub = quarters(v, u)
+    vtu = RowBlocks.gemm_red("t", "n", 0.001, vb, ub, parts=4, levels=2)
     eta = spark.range(4 * r).select(
         F.col("id").alias("i"), F.expr(f"cast(1 + id div {r} + id % {r} % 5 as double)").alias("v")
     )
@@ -371,32 +376,24 @@ def node_solve_known(spark, folder):
 
 @query(
     "node_solve_region_ragged",
-    "SELECT side, k, (1 + side + k % 5)::DOUBLE AS eta FROM range(2) b(side), range(32) c(k) WHERE side = 1 OR k < 16",
+    """SELECT node, side, k, (1 + node * 2 + side + k % 5)::DOUBLE AS eta FROM range(4) a(node), range(2) b(side), range(64) c(k)
+WHERE k < CASE side WHEN 0 THEN 16 + 8 * node ELSE 48 - 8 * node END""",
 )
 def node_solve_two_ranks(spark, folder):
-    """Ranks 16 and 32 with a known eta."""
+    """Four nodes whose sides share all columns in four ways, with a known eta."""
     known = Known(spark, folder)
-    u, v = known.u, known.v
-    ub, vb = RowBlocks.from_matrix(u, 1), RowBlocks.from_matrix(v, 1)
-    frames = []
-    for side, (own, other) in enumerate(((16, 32), (32, 16))):
-        vtu = RowBlocks.gemm_red("t", "n", 0.001, vb.window(0, other), ub.window(0, own), parts=2)
-        known = F.expr(f"transform(sequence(0, {own - 1}), k -> cast({1 + side} + k % 5 as double))")
-        met = F.expr(f"transform(sequence(0, {other - 1}), k -> cast({2 - side} + k % 5 as double))")
-        product = F.expr(
-            f"transform(sequence(0, {other - 1}), k -> met[k] + "
-            f"aggregate(zip_with(slice(vtu, k * {own} + 1, {own}), known, (a, b) -> a * b), 0D, (s, p) -> s + p))"
-        )
-        rows = vtu.df.where(F.col("part") == side).select(
-            F.lit(0).alias("node"),
-            F.lit(side).alias("side"),
-            F.lit(own).alias("rank"),
-            F.col("data").alias("vtu"),
-            known.alias("known"),
-            met.alias("met"),
-        )
-        frames.append(rows.select("node", "side", "rank", "vtu", product.alias("vtd")))
-    solved = node_solve_ragged(frames[0].unionByName(frames[1]), nrhs=1)
-    return solved.select(F.col("side").cast("bigint").alias("side"), F.posexplode("eta").alias("k", "eta")).select(
-        "side", F.col("k").cast("bigint").alias("k"), rounded("eta").alias("eta")
+    u, v = RowBlocks.together([known.u, known.v], 3)
+    grams = RowBlocks.gemm_red("t", "n", 0.001, v, u, parts=8, levels=2)
+    ranks = spark.range(4).selectExpr("id as node", "cast(16 + 8 * id as int) as rank0", "cast(48 - 8 * id as int) as rank1")
+    sides = node_sides(grams, ranks)
+    eta = "transform(sequence(0, {n} - 1), k -> cast(1 + node * 2 + {side} + k % 5 as double))"
+    sides = sides.withColumn("other", F.expr(f"{64} - rank"))
+    sides = sides.withColumns({"own": F.expr(eta.format(n="rank", side="side")), "met": F.expr(eta.format(n="other", side="(1 - side)"))})
+    product = F.expr(
+        "transform(sequence(0, other - 1), k -> met[k] + "
+        "aggregate(zip_with(slice(vtu, k * rank + 1, rank), own, (a, b) -> a * b), 0D, (s, p) -> s + p))"
+    )
+    solved = node_solve_ragged(sides.withColumn("vtd", product), nrhs=1)
+    return solved.select("node", F.col("side").cast("bigint").alias("side"), F.posexplode("eta").alias("k", "eta")).select(
+        "node", "side", F.col("k").cast("bigint").alias("k"), rounded("eta").alias("eta")
     )

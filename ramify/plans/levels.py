@@ -1,7 +1,7 @@
 """The solve spelled out level by level with the block operators.
 
-``Hodlr.solve`` computes the same x with two passes over the rows.  This form keeps
-every intermediate matrix visible: the storage ``[rhs | u_0 | ... | u_{L-1}]``, its
+``Hodlr.solve`` computes the same x with two passes over the rows.  This form spells out
+every intermediate matrix: the storage ``[rhs | u_0 | ... | u_{L-1}]``, its
 windows per level, the reductions, the node solves and the updates.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from ramify.functions.algebra import Matrix, Vector
-from ramify.operators.blocks import RowBlocks
+from ramify.operators.blocks import Partition, RowBlocks
 from ramify.session import RunFolder
 
 
@@ -58,26 +58,32 @@ def solve_by_levels(
     level: int,
     launch_level: int | None = None,
     folder: RunFolder | None = None,
+    cut: Partition | None = None,
 ) -> LevelStorage:
-    """Leaf solves, then one reduction, node solve and update per level up to the root."""
+    """Leaf solves, then one reduction, node solve and update per level up to the root.
+
+    U, V, D and b are assembled in one shuffle and stay side by side, so the levels need no join:
+    each reads ``[rhs | u_0 | ... | u_at | V]`` and writes only what the next one reads.
+    Parts are ``2**launch_level`` equal ones, or those of ``cut``, which may be unequal or empty; a
+    part's leaves have about ``rows / 2**level`` rows.
+    """
     top = level if launch_level is None else launch_level
     if not 0 <= top <= level:
         raise ValueError(f"launch level {top} is outside 0..{level}")
+    if cut is not None and cut.parts != 1 << top:
+        raise ValueError(f"{cut.parts} parts for {1 << top} of the tree")
     leaf = -(-u.rows // (1 << level))
-    part_rows = -(-u.rows // (1 << top))
+    cut = cut or Partition.equal(u.rows, 1 << top)
     diagonal = Matrix(diag.df.selectExpr("i", "0 as j", "v"), diag.rows, 1)
-    ub, vb, db, bb = (RowBlocks.from_matrix(m, top, part_rows) for m in (u, v, diagonal, b))
-    folder = folder or RunFolder(u.df.sparkSession)
-    vb = vb.cut(folder, "v")
-    w = RowBlocks.part_solve(ub, vb, db, bb, leaf, copies=top).cut(folder, f"w{top}")
+    blocks = RowBlocks.together([u, v, diagonal, b], block_rows=cut.part_rows, cut=cut)
+    folder, r, nrhs = folder or RunFolder(u.df.sparkSession), u.cols, b.cols
+    w = RowBlocks.part_solve(*blocks, leaf, copies=top, with_v=True).cut(folder, f"w{top}")
     for at in range(top - 1, -1, -1):
-        storage = LevelStorage(w, b.cols, u.cols, top)
-        sides = 2 << at
-        d, u_at = storage.d(at), storage.u(at)
+        left = nrhs + r * at
+        d, u_at, v_at = w.window(0, left), w.window(left, r), w.window(left + r, r)
         # d and u lie next to each other, so one reduction gives V'd and V'u.
-        vtw = RowBlocks.gemm_red("t", "n", 1.0, vb, w.window(0, d.cols + u_at.cols), sides, levels=2)
-        eta = RowBlocks.node_solve(vtw.window(d.cols, u_at.cols), vtw.window(0, d.cols))
-        eta = eta.window(0, d.cols)
+        vtw = RowBlocks.gemm_red("t", "n", 1.0, v_at, w.window(0, left + r), 2 << at, levels=2)
+        eta = RowBlocks.node_solve(vtw.window(left, r), vtw.window(0, left)).window(0, left)
         w = RowBlocks.gemm_bro("n", "n", -1.0, u_at, eta, 1.0, d)
-        w = w.window(0, w.width).cut(folder, f"w{at}")
-    return LevelStorage(w, b.cols, u.cols, top)
+        w = w.columns((0, left), (left + r, r)).cut(folder, f"w{at}")
+    return LevelStorage(w, nrhs, r, 0)
