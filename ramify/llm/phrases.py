@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +120,8 @@ def _frequent_hashes(docs: DataFrame, least: int, bits: int, power: int, now: li
 
     Without ``now`` words and pairs of any kind are counted; with ``old`` words are not, as they were before.
     """
-    given = docs.sparkSession.sparkContext.broadcast((now, old))
+    # only the maps of words and pairs admit anything
+    given = docs.sparkSession.sparkContext.broadcast((now and now[:2], old and old[:2]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = given.value
@@ -141,7 +143,9 @@ def _frequent_hashes(docs: DataFrame, least: int, bits: int, power: int, now: li
 
     found = docs.mapInArrow(send, f"k int, {PACKED}").groupBy("k", "bucket").applyInArrow(count, "k int, bucket long, bits binary")
     maps, size = [np.zeros(1 << (power - 6), np.uint64) for _ in range(3)], 1 << (power - bits - 3)
-    for batch in found.toArrow().to_batches():
+    found = found.toArrow()
+    given.destroy()
+    for batch in found.to_batches():
         for k, bucket, cells in zip(*(batch.column(c).to_pylist() for c in ("k", "bucket", "bits")), strict=True):
             maps[k - 1].view(np.uint8)[bucket * size : (bucket + 1) * size] = np.frombuffer(cells, np.uint8)
     return maps
@@ -151,9 +155,8 @@ def _codes(langs: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x.as_py()) for x in langs), np.uint64, len(langs))
 
 
-def _counted(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """Counts (lang, k, phrase, c) of the phrases in the maps; k = 0 has the number of words."""
-    given = docs.sparkSession.sparkContext.broadcast(maps)
+def _counted(docs: DataFrame, given: Broadcast) -> DataFrame:
+    """Counts (lang, k, phrase, c) of the phrases in the maps sent; k = 0 has the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = given.value
@@ -180,8 +183,8 @@ def frequent(docs: DataFrame, text: str, lang: str, key: list[Column], least: in
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     every, some = wanted.select("text", "lang"), wanted.where(F.pmod("key", F.lit(SAMPLE_PART)) == 0).select("text", "lang")
     bits = bucket_bits(size // 6)
-    # a phrase that is frequent takes that many words or more
-    power = max(bits + 6, min(MOST_BITS, max(LEAST_BITS, (size // least).bit_length())))
+    # frequent phrases are far fewer than the text has room for
+    power = max(bits + 6, min(MOST_BITS, max(LEAST_BITS, (size // (4 * least)).bit_length())))
     now, old, found = _frequent_hashes(some, SAMPLE_LEAST, bits, power, None, None), None, None
     while True:
         new = _frequent_hashes(every, least, bits, power, now, old)
@@ -191,8 +194,11 @@ def frequent(docs: DataFrame, text: str, lang: str, key: list[Column], least: in
         if all(np.array_equal(x, y) for x, y in zip(now[:2], more[:2], strict=True)):
             break
         now, old = more, now
-    counts = _counted(every, found)
-    return RunFolder(docs.sparkSession).cut(counts.where((F.col("c") >= least) | (F.col("k") == 0)), "phrases")
+    given = docs.sparkSession.sparkContext.broadcast(found)
+    counts = _counted(every, given)
+    counts = RunFolder(docs.sparkSession).cut(counts.where((F.col("c") >= least) | (F.col("k") == 0)), "phrases")
+    given.destroy()
+    return counts
 
 
 def collocations(phrases: DataFrame, weight: int = 50) -> DataFrame:
