@@ -27,10 +27,12 @@ def shown(blocks: RowBlocks, digits: int = 6):
     return entries(blocks.to_matrix(), digits)
 
 
-def by_part(blocks: RowBlocks, part: str = "part", digits: int = 6):
-    """Entries numbered within their part."""
-    size = blocks.part_rows
-    return blocks.entries().select(
+def by_part(blocks: RowBlocks, part: str = "part", digits: int = 6, of: RowBlocks | None = None):
+    """Entries numbered within their part; sums over no rows of ``of`` are left out, as SQL does."""
+    size, cells = blocks.part_rows, blocks.entries()
+    if of is not None:
+        cells = cells.where(F.expr(f"i div {size}") < of.partition_of.empty_groups(of.parts // blocks.parts).start)
+    return cells.select(
         F.expr(f"i div {size}").alias(part),
         F.expr(f"i % {size}").alias("i"),
         "j",
@@ -57,7 +59,7 @@ def blocks_to_columns(spark, folder):
 )
 def blocks_to_range(spark, folder):
     e = Known(spark, folder).u
-    return quarters(e).to_matrix(e.rows // 3, e.rows // 2, 8, 24).df
+    return quarters(e).entries(e.rows // 3, e.rows // 2, 8, 24)
 
 
 @query("blocks_to_vector", BASE + "SELECT i, v FROM E WHERE j = 5")
@@ -189,7 +191,7 @@ FROM V JOIN E USING (i), N GROUP BY 1, 2, 3"""
 def gemm_reduce(spark, folder):
     known = Known(spark, folder)
     v, u = quarters(known.v, known.u)
-    return by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=2), "node")
+    return by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=2), "node", of=u)
 
 
 @query(
@@ -201,7 +203,7 @@ round(sum(V.v * E.v), 6) + 0.0 AS v FROM V JOIN E USING (i), N GROUP BY 1, 2, 3,
 def gemm_reduce_two_level(spark, folder):
     known = Known(spark, folder)
     v, u = quarters(known.v, known.u)
-    w = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4, levels=2))
+    w = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4, levels=2), of=u)
     return w.select(F.expr("part div 2").alias("node"), F.expr("part % 2").alias("side"), "i", "j", "v")
 
 
@@ -215,7 +217,7 @@ def spmd_level_sum(spark, folder):
     """Part sums combined into the nodes of each coarser level."""
     known = Known(spark, folder)
     v, u = quarters(known.v, known.u)
-    part = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4), digits=15)
+    part = by_part(RowBlocks.gemm_red("t", "n", 1.0, v, u, parts=4), digits=15, of=u)
     level = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
     sums = part.withColumn("level", level).groupBy(
         "level", F.expr("shiftright(part, cast(2 - level as int))").alias("node"), "i", "j"
@@ -344,6 +346,7 @@ def node_solve_rank_one(spark, folder):
     eta = RowBlocks.node_solve(vtu, vtd).to_vector().df
     pick = [F.max(F.when(F.col("i") % 2 == s, F.col("v"))).alias(f"eta{s}") for s in (0, 1)]
     sides = eta.groupBy(F.expr("i div 2").alias("node")).agg(*pick)
+    sides = sides.where(F.col("node") < u.partition_of.empty_groups(1).start // 2)  # both sides have rows
     return sides.select("node", rounded("eta0").alias("eta0"), rounded("eta1").alias("eta1"))
 
 

@@ -281,7 +281,7 @@ class RowBlocks:
         """Entries ``(i, j, v)`` of a half-open range of the window, counted from its corner."""
         row1 = self.rows if row1 is None else row1
         col1 = self.cols if col1 is None else col1
-        _check(0 <= row0 < row1 <= self.rows and 0 <= col0 < col1 <= self.cols, "range is outside the matrix")
+        _check(0 <= row0 <= row1 <= self.rows and 0 <= col0 <= col1 <= self.cols, "range is outside the matrix")
         blocks = self.df.where((F.col("row0") < row1) & (F.col("row0") + F.col("nrow") > row0))
         width, lo, hi = self.width, self.col0 + col0, self.col0 + col1
 

@@ -72,7 +72,8 @@ def solve_by_levels(
         raise ValueError(f"launch level {top} is outside 0..{level}")
     if cut is not None and cut.parts != 1 << top:
         raise ValueError(f"{cut.parts} parts for {1 << top} of the tree")
-    leaf = -(-u.rows // (1 << level))
+    # a single leaf may have fewer rows than the rank
+    leaf = -(-u.rows // (1 << level)) if level else max(u.rows, u.cols + 1)
     cut = cut or Partition.equal(u.rows, 1 << top)
     diagonal = Matrix(diag.df.selectExpr("i", "0 as j", "v"), diag.rows, 1)
     blocks = RowBlocks.together([u, v, diagonal, b], block_rows=cut.part_rows, cut=cut)
