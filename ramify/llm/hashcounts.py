@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Hashes of a bucket.
-BUCKET_HASHES = 1 << 22
+BUCKET_HASHES = 1 << 21
 PACKED = "bucket long, codes binary, counts binary"
 _MOST = 65535
 
