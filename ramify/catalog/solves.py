@@ -97,6 +97,36 @@ def hodlr_multi_rhs(spark, folder):
     return solved.select("i", *[rounded(F.col("x")[k]).alias(f"x{k}") for k in range(3)])
 
 
+@query(
+    "hodlr_factor_once",
+    BASE + "SELECT 0 AS step, i, x FROM X UNION ALL SELECT 1, i, (1 + i % 11)::DOUBLE FROM X UNION ALL SELECT 2, i, -2 * x FROM X",
+)
+def hodlr_factor_once(spark, folder):
+    """Factored once; then a right-hand side kept with the factors, and two that come later as frames."""
+    h = embedding_system(spark, folder)
+    factors = Hodlr(h.system.withColumn("rhs", F.col("b")[0]), rank=h.rank).factor(leaf=125, keep=["rhs"])
+    other = h.system.withColumn("x1", 1.0 + F.col("i") % 11)
+    later = Hodlr(other, rank=h.rank).products("x1").select("i", F.col("ax")[0].alias("b1"))
+    twice = h.system.select("i", (-2 * F.col("b")[0]).alias("b2"))
+    solved = [factors.solve("rhs"), factors.solve(later), factors.solve(twice)]
+    shown = [first_x(x, "i").select(F.lit(k).alias("step"), "i", "x") for k, x in enumerate(solved)]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
+@query(
+    "hodlr_factor_lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (1 + l_partkey % 9)::DOUBLE AS x, (1 + l_suppkey % 5)::DOUBLE AS x1 FROM lineitem",
+)
+def hodlr_factor_lineitem(spark, folder):
+    """Two kept right-hand sides solved together, over all line items."""
+    h = lineitem_system(spark, folder)
+    rows = h.system.withColumn("x1", 1.0 + F.col("l_suppkey") % 5)
+    h = Hodlr(Hodlr(rows, LINE_KEYS, h.rank).products("x", "x1"), LINE_KEYS, h.rank)
+    rows = h.system.select("*", F.col("ax")[0].alias("b0"), F.col("ax")[1].alias("b1"))
+    solved = Hodlr(rows, LINE_KEYS, h.rank).factor(leaf=64, keep=["b0", "b1"]).solve(["b0", "b1"])
+    return solved.select(*LINE_KEYS, rounded(F.col("x")[0]).alias("x"), rounded(F.col("x")[1]).alias("x1"))
+
+
 @query("hodlr_irregular_leaves", KNOWN)
 def hodlr_irregular_leaves(spark, folder):
     """The first part has twice the rows and twice the leaf; every part holds two leaves."""

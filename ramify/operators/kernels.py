@@ -106,6 +106,85 @@ def solve_part(u, v, d, b, leaf: int, where: object) -> tuple[np.ndarray, np.nda
     return w.reshape(count * size, -1)[:n], gram
 
 
+#: Columns of a panel of the factorization.
+PANEL = 32
+
+
+def lu_factor(a: np.ndarray, where: object) -> tuple[np.ndarray, np.ndarray]:
+    """LU factors with row pivoting of a stack of square matrices: L below the diagonal, U on and above it.
+
+    The second value is the order of the rows.  Panels are factored column by column, the rest follows by products.
+    """
+    a = np.array(a, np.float64)
+    m, n, _ = a.shape
+    order, each = np.tile(np.arange(n), (m, 1)), np.arange(m)
+    for lo in range(0, n, PANEL):
+        hi = min(lo + PANEL, n)
+        for j in range(lo, hi):
+            top = j + np.abs(a[:, j:, j]).argmax(1)
+            a[each, j], a[each, top] = a[each, top], a[each, j]
+            order[each, j], order[each, top] = order[each, top], order[each, j]
+            pivot = a[:, j, j]
+            if not (np.abs(pivot) > 0).all():
+                raise ValueError(f"singular system at {where}")
+            a[:, j + 1 :, j] /= pivot[:, None]
+            a[:, j + 1 :, j + 1 : hi] -= a[:, j + 1 :, j, None] * a[:, j, None, j + 1 : hi]
+        if hi < n:
+            lower = np.tril(a[:, lo:hi, lo:hi], -1) + np.eye(hi - lo)
+            a[:, lo:hi, hi:] = np.linalg.solve(lower, a[:, lo:hi, hi:])
+            a[:, hi:, hi:] -= a[:, hi:, lo:hi] @ a[:, lo:hi, hi:]
+    return a, order
+
+
+def lu_solve(lu: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve with the factors of ``lu_factor`` for a stack of right-hand sides."""
+    x = np.take_along_axis(b, order[:, :, None], 1)
+    n = lu.shape[1]
+    starts = range(0, n, PANEL)
+    for lo in starts:
+        hi = min(lo + PANEL, n)
+        x[:, lo:hi] = np.linalg.solve(np.tril(lu[:, lo:hi, lo:hi], -1) + np.eye(hi - lo), x[:, lo:hi])
+        x[:, hi:] -= lu[:, hi:, lo:hi] @ x[:, lo:hi]
+    for lo in reversed(starts):
+        hi = min(lo + PANEL, n)
+        x[:, lo:hi] = np.linalg.solve(np.triu(lu[:, lo:hi, lo:hi]), x[:, lo:hi])
+        x[:, :lo] -= lu[:, :lo, lo:hi] @ x[:, lo:hi]
+    return x
+
+
+def factor_sweep(grams: np.ndarray, where: object) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """The steps of merging neighbouring subtrees with grams ``V'u``, and the merged gram.
+
+    A step has, for each pair, the factors of its coupling system, the two grams, and the solution for u.
+    """
+    r, steps = grams.shape[2], []
+    while len(grams) > 1:
+        half = len(grams) // 2
+        g0, g1, rest = grams[0 : 2 * half : 2], grams[1 : 2 * half : 2], grams[2 * half :]
+        lu, order = lu_factor(coupling(g0, g1), where)
+        eta = lu_solve(lu, order, np.concatenate([g1, g0], axis=1))
+        steps.append((lu, order, g0, g1, eta))
+        grams = np.concatenate([g0 - g0 @ eta[:, :r] + g1 - g1 @ eta[:, r:], rest])
+    return steps, grams[0]
+
+
+def replay_sweep(steps: list[tuple[np.ndarray, ...]], sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``sweep`` does to right-hand sides alone: merged ``V'd``, and for each subtree its coefficients of u."""
+    r, passed = sums.shape[1], []
+    for lu, order, g0, g1, eta_u in steps:
+        half = len(g0)
+        d0, d1, rest = sums[0 : 2 * half : 2], sums[1 : 2 * half : 2], sums[2 * half :]
+        eta = lu_solve(lu, order, np.concatenate([d1, d0], axis=1))
+        passed.append((eta, eta_u))
+        sums = np.concatenate([d0 - g0 @ eta[:, :r] + d1 - g1 @ eta[:, r:], rest])
+    x = np.zeros((1, *sums.shape[1:]))
+    for eta, eta_u in reversed(passed):
+        parent = x[: len(eta)]
+        both = [eta[:, s] + parent - eta_u[:, s] @ parent for s in (slice(0, r), slice(r, 2 * r))]
+        x = np.concatenate([np.stack(both, axis=1).reshape(-1, *parent.shape[1:]), x[len(eta) :]])
+    return sums[0], x
+
+
 #: Fixed values of the 48-bit linear congruential generator (the rand48 family).
 LCG_MULTIPLIER = 0x5DEECE66D
 LCG_INCREMENT = 0xB

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramify.functions.algebra import Matrix, Vector, array_sums, dot
+from ramify.plans.factors import Factorization
 from ramify.plans.tree import (
     Layout,
     apply_coefficients,
@@ -166,6 +167,12 @@ class Hodlr:
         solved = apply_coefficients(parts, push_down(stages, parts))
         return solved.withColumnsRenamed({to: c for c, to in carried.items()})
 
+    def factor(self, leaf: int | None = None, layout: Layout | None = None, keep: Sequence[str] = ()) -> Factorization:
+        """Factors for any number of right-hand sides; columns named in ``keep`` stay with them."""
+        found = Factorization(self.system, self.keys, self.rank, leaf or max(64, 2 * self.rank), keep, layout)
+        self._folders.append(found.folder)
+        return found
+
     def solve_levels(
         self, b, rows: int, level: int, launch_level: int | None = None, nrhs: int | None = None
     ) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 
 import ramify.operators.blocks as blocks
 from ramify import Matrix, RowBlocks, Vector
-from ramify.operators.blocks import node_solve_ragged
+from ramify.operators.blocks import Partition, node_solve_ragged
 from ramify.plans.levels import LevelStorage, solve_by_levels
 from ramify.sources.generators import random_matrix, random_vector
 
@@ -35,7 +35,7 @@ def test_round_trip_and_ranges(spark, block_rows):
 
 def test_any_number_of_parts(spark):
     m = random_matrix(spark, 21, 2, 3, 1)
-    b = RowBlocks.from_matrix(m, block_rows=4, parts=3)
+    b = RowBlocks.from_matrix(m, block_rows=4, cut=Partition.equal(21, 3))
     assert b.part_rows == 7 and b.df.count() == 6
     assert np.array_equal(b.init_data(m).to_matrix().to_numpy(), m.to_numpy())
     w = RowBlocks.gemm_red("t", "n", 1.0, b, b)
