@@ -202,7 +202,7 @@ def test_argument_errors(spark):
     b = RowBlocks.zeros(spark, 8, 2, 2)
     c = RowBlocks.zeros(spark, 8, 2, 1)
     for bad in (
-        lambda: RowBlocks.zeros(spark, 6, 1, 2),
+        lambda: RowBlocks.zeros(spark, 0, 1, 2),
         lambda: b.window(1, 2),
         lambda: RowBlocks.add(1, b, 1, c),
         lambda: RowBlocks.gemm_red("x", "n", 1, b, b),
