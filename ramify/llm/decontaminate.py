@@ -6,6 +6,9 @@ items are hashed once per mask; every document position is hashed with the same
 and joined to them.  A hit fixes an alignment (document, item, offset); along it, windows
 of ``window`` tokens are compared and the item counts as contained where a window has at
 least ``similarity`` equal tokens.  Chance hits on common words die there.
+
+Items too short for a seed are looked for word by word: all their tokens are hashed as one, and so is
+every run of as many tokens in the documents.
 """
 
 from __future__ import annotations
@@ -15,16 +18,25 @@ from pyspark.sql import functions as F
 
 from ramify.session import BROADCAST_BYTES, RunFolder
 
-#: Kept positions of each mask. All keep the first token; together they leave out every other one.
-MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 6, 7), (0, 1, 2, 5, 6))
+#: Kept positions of each mask. Every position is left out by one of them, so an item of a single span
+#: is found with any one token replaced.
+MASKS = ((0, 1, 3, 4, 7), (2, 3, 5, 6, 7), (0, 1, 2, 4, 6))
 SPAN = 8
+#: Tokens of the shortest items that are looked for; shorter ones say too little.
+SHORTEST = 4
 WINDOW = 16
 SIMILARITY = 0.75
 
 
+#: Scripts without blanks between words: every letter is a token, with the marks on it.
+LETTERWISE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; null or blank text has none."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    """Lower-case runs of letters, their marks, and digits, or single letters of ``LETTERWISE`` scripts; null or blank text has none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(low.rlike(LETTERWISE), F.regexp_replace(low, rf"({LETTERWISE}\p{{M}}*)", " $1 ")).otherwise(low)
+    clean = F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}\p{M}]+", " "))
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
@@ -38,6 +50,26 @@ def _seeds(table: DataFrame, keys: list[str], words: str) -> DataFrame:
     return rows.select(*keys, "at", F.explode(per_mask).alias("seed"))
 
 
+def _verbatim(named: DataFrame, tests: DataFrame) -> DataFrame | None:
+    """The rows of the result for items shorter than a span, or None without such items."""
+    short = tests.where(F.size("item") < SPAN).select("item_id", "item", F.size("item").alias("n"), F.xxhash64("item").alias("seed"))
+    lengths = [r.n for r in short.select("n").distinct().collect()]  # a few numbers below the span
+    if not lengths:
+        return None
+    words, found = named.select("__key", "text_hash", tokens(F.col("__text")).alias("words")), []
+    for n in sorted(lengths):
+        runs = F.expr(f"transform(sequence(1, size(words) - {n - 1}), i -> xxhash64(slice(words, i, {n})))")
+        runs = words.where(F.size("words") >= n).select("__key", "text_hash", F.explode(F.array_distinct(runs)).alias("seed"))
+        found.append(runs.withColumn("n", F.lit(n)))
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    bytes_ = short.agg(F.sum(F.aggregate("item", F.lit(64), lambda s, w: s + F.octet_length(w)))).first()[0]
+    hit = every.join(F.broadcast(short) if bytes_ <= BROADCAST_BYTES else short, ["seed", "n"])
+    one = F.lit(1).cast("long").alias("seeds")
+    return hit.groupBy("__key", "text_hash", "item_id").agg(F.max("n").alias("n")).select("__key", "text_hash", "item_id", one, F.col("n").alias("matched"), F.col("n").alias("compared"))
+
+
 def item_windows(equal: Column, window: int) -> Column:
     """Most equal tokens in any run of ``window`` aligned tokens (of the whole, where it is shorter)."""
     last = F.greatest(F.size(equal) - F.lit(window), F.lit(0))
@@ -60,14 +92,16 @@ def contaminated(
     seeds: hits on the best alignment; matched of compared: equal tokens in its best window.
     A document is named by its key and the hash of its text, so rows that repeat a key with
     another text are told apart, and rows that repeat both are one.  Null or empty texts and
-    items of fewer than ``SPAN`` tokens match nothing; items shorter than ``window`` are
+    items of fewer than ``SHORTEST`` tokens match nothing; items of fewer than ``SPAN`` tokens match where
+    they stand word by word; other items shorter than ``window`` are
     compared whole.  An alignment that hangs over the start or end of a document is
     compared where both exist, if that leaves at least ``SPAN`` tokens.
     """
     folder = RunFolder(docs.sparkSession)
     tests = items.select(F.col(item_key).alias("item_id"), tokens(F.col(item_text)).alias("item")).distinct()
-    tests = folder.cut(tests.where(F.size("item") >= SPAN), "items")
+    tests = folder.cut(tests.where(F.size("item") >= SHORTEST), "items")
     named = docs.select(F.col(key).alias("__key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("__text"))
+    verbatim = _verbatim(named, tests)
     wanted = _seeds(tests, ["item_id"], "item").withColumnRenamed("at", "item_at")
     found = _seeds(named.withColumn("words", tokens(F.col("__text"))), ["__key", "text_hash"], "words")
 
@@ -88,4 +122,6 @@ def contaminated(
     judged = judged.select("__key", "text_hash", "item_id", "seeds", item_windows(F.col("equal"), window).alias("matched"), F.least(F.size("equal"), F.lit(window)).alias("compared"))
     judged = judged.where(F.col("matched") >= F.lit(similarity) * F.col("compared"))
     best = F.max(F.struct(F.col("matched") / F.col("compared"), "compared", "matched", "seeds")).alias("best")
-    return judged.groupBy("__key", "text_hash", "item_id").agg(best).select(F.col("__key").alias(key), "text_hash", "item_id", "best.seeds", "best.matched", "best.compared")
+    judged = judged.groupBy("__key", "text_hash", "item_id").agg(best).select("__key", "text_hash", "item_id", "best.seeds", "best.matched", "best.compared")
+    judged = judged if verbatim is None else judged.unionByName(verbatim)
+    return judged.withColumnRenamed("__key", key)
