@@ -45,7 +45,9 @@ chars AS (SELECT doc_id, s, m, w0, unnest(string_split(substr(m, (w0 + 1)::BIGIN
 counted AS (SELECT doc_id, s, m, w0, c, count(*) / {WINDOW}.0 AS x FROM chars GROUP BY ALL),
 bits AS (SELECT doc_id, s, m, w0, -sum(x * log2(x)) AS h FROM counted GROUP BY ALL),
 passed AS (SELECT doc_id, s + min(w0) AS s, s + max(w0) + {WINDOW} AS e FROM bits
-  WHERE h + 1e-9 >= CASE WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') THEN {HEX_BITS} ELSE {OTHER_BITS} END GROUP BY doc_id, bits.s),
+  WHERE NOT regexp_full_match(substr(m, (w0 + 1)::BIGINT, {WINDOW}), '[0-9]+')
+  AND h + 1e-9 >= CASE WHEN regexp_full_match(substr(m, (w0 + 1)::BIGINT, {WINDOW}), '[0-9a-f]+|[0-9A-F]+') THEN {HEX_BITS} ELSE {OTHER_BITS} END
+  GROUP BY doc_id, bits.s),
 more AS (SELECT * FROM passed x WHERE NOT EXISTS (SELECT 1 FROM base y WHERE y.doc_id = x.doc_id AND y.s <= x.s AND x.e <= y.e)),
 a AS (SELECT doc_id, kind, place, s, e FROM base UNION ALL SELECT doc_id, 'entropy', {len(BASE)}, s, e FROM more),
 x AS (SELECT doc_id, {counts}, string_agg(CASE WHEN kind <> 'entropy' THEN kind || ':' || s || ':' || e END, ',' ORDER BY s, place) AS base,

@@ -6,9 +6,11 @@ Base spans are the matches of three patterns, leftmost and non-overlapping per k
 their places come from splitting the text at the pattern and adding up lengths.
 
 Entropy spans: a candidate is a whole run of 20 or more key characters holding digits
-and letters.  A window of ``WINDOW`` characters slides over it; the counts of the two
-characters that enter and leave change sum(c log2 c), from which Shannon entropy
-follows.  Hexadecimal candidates and others have their own thresholds.  Where windows
+and letters; ``=`` ends it, so the name in ``name=value`` is no part of it.  A window of ``WINDOW``
+characters slides over it; the counts of the two characters that enter and leave change
+sum(c log2 c), from which Shannon entropy follows, and the counts of what is no lower-case or upper-case
+hexadecimal digit and no decimal one, which give the class of the window.  Hexadecimal windows and others have
+their own thresholds, and one of decimal digits alone never passes.  Where windows
 pass, the run from the first to the last of them is a span of kind ``entropy``, unless the
 candidate is on the allow-list (public identifiers, named examples) or the span lies in
 a base span.
@@ -25,14 +27,14 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
-#: Bits per character that a window must reach, by the class of the candidate.
+#: Bits per character that a window must reach, by its class.
 HEX_BITS, OTHER_BITS = 3.0, 3.6
 #: Candidates that are no secrets: UUIDs, dates and numbers with separators, words that name an example.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9+/_=-]*$",
+    r"^[0-9+/_-]*$",
     r"(?i)example|sample|placeholder|dummy|xxxx",
     r"^(sha256|sha1|md5)-",
 )
@@ -66,15 +68,29 @@ def _spans(column: Column) -> Column:
 
 def _entropy(candidate: Column, window: int = WINDOW) -> Column:
     """struct<lo, hi>: first window that passes and the end of the last, within a candidate; lo -1 if none."""
-    chars = F.split(candidate, "")
+    # bound once, so that a step does not split the candidate again
+    return F.transform(F.array(F.split(candidate, "")), lambda chars: _slide(chars, window))[0]
+
+
+def _slide(chars: Column, window: int) -> Column:
+    """``_entropy`` of a candidate's characters."""
     count = lambda run, x: F.size(F.filter(run, lambda c: c == x)).cast("double")
     weigh = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-    limit = F.when(candidate.rlike("^[0-9a-f]+$") | candidate.rlike("^[0-9A-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(OTHER_BITS))
+    # one character of each class counts as 1 where it is none of the class
+    kinds = {"lower": "0123456789abcdef", "upper": "0123456789ABCDEF", "digit": "0123456789"}
+    other = lambda x, k: F.when(F.instr(F.lit(kinds[k]), x) > 0, 0).otherwise(1)
     head = F.slice(chars, 1, window)
     whole = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, x: s + weigh(count(head, x)))
-    bits = lambda s: F.log2(F.lit(float(window))) - s / F.lit(float(window)) + F.lit(1e-9)
-    first = F.when(bits(whole) >= limit, F.lit(0)).otherwise(F.lit(-1))
-    start = F.struct(whole.alias("s"), first.alias("lo"), F.when(first == 0, F.lit(window)).otherwise(F.lit(-1)).alias("hi"))
+    strangers = lambda k: F.aggregate(head, F.lit(0), lambda n, x: n + other(x, k))
+    strange = {k: strangers(k) for k in kinds}
+
+    def passing(s: Column, n: dict[str, Column]) -> Column:
+        bits = F.log2(F.lit(float(window))) - s / F.lit(float(window)) + F.lit(1e-9)
+        limit = F.when((n["lower"] == 0) | (n["upper"] == 0), F.lit(HEX_BITS)).otherwise(F.lit(OTHER_BITS))
+        return (n["digit"] > 0) & (bits >= limit)
+
+    first = F.when(passing(whole, strange), F.lit(0)).otherwise(F.lit(-1))
+    start = F.struct(whole.alias("s"), first.alias("lo"), F.when(first == 0, F.lit(window)).otherwise(F.lit(-1)).alias("hi"), *[n.alias(k) for k, n in strange.items()])
 
     def slide(acc: Column, i: Column) -> Column:
         run = F.slice(chars, i - F.lit(window), window)
@@ -82,11 +98,12 @@ def _entropy(candidate: Column, window: int = WINDOW) -> Column:
         a, b = count(run, entering), count(run, leaving)
         moved = acc["s"] + weigh(a + 1) - weigh(a) + weigh(b - 1) - weigh(b)
         s = F.when(entering == leaving, acc["s"]).otherwise(moved)
-        passes = bits(s) >= limit
+        n = {k: acc[k] + other(entering, k) - other(leaving, k) for k in kinds}
+        passes = passing(s, n)
         lo = F.when(passes & (acc["lo"] < 0), i - F.lit(window)).otherwise(acc["lo"])
-        return F.struct(s.alias("s"), lo.alias("lo"), F.when(passes, i).otherwise(acc["hi"]).alias("hi"))
+        return F.struct(s.alias("s"), lo.alias("lo"), F.when(passes, i).otherwise(acc["hi"]).alias("hi"), *[c.alias(k) for k, c in n.items()])
 
-    later = F.when(F.length(candidate) > window, F.sequence(F.lit(window + 1), F.length(candidate))).otherwise(F.array().cast("array<int>"))
+    later = F.when(F.size(chars) > window, F.sequence(F.lit(window + 1), F.size(chars))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(later, start, slide)
 
 
