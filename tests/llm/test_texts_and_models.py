@@ -62,6 +62,55 @@ def test_masks_hit_any_single_substitution():
         assert any(all(passage[i + k] == changed[i + k] for k in mask) for mask in decontaminate.MASKS for i in range(30 - decontaminate.SPAN + 1))
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "seven words that stand here only once"), (2, "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059\u304b\u3089\u5927\u304d\u3044"), (3, "one two three"), (4, "just four small words"), (5, "eight words are a span of one seed")]
+    docs = [
+        (1, "Before: seven words, that stand here only ONCE. After"),
+        (2, "\u3053\u308c\u306f" + items[1][1] + "\u3002\u306f\u3044"),
+        (3, "one two three four"),
+        (4, "just four small"),
+        (5, "just four other words"),
+        (6, "x just four small words"),
+        (7, "seven words that stand there only once"),
+        *[(10 + k, " ".join(["a", *["swapped" if i == k else w for i, w in enumerate(items[4][1].split())], "b"])) for k in range(8)],
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (6, 4), *((10 + k, 5) for k in range(8))}
+
+
+def test_contaminated_equals_all_pairs(spark):
+    rng = random.Random(21)
+    say = lambda n: [f"w{rng.randint(0, 60)}" for _ in range(n)]
+    items = [(i, say(rng.choice([8, 12, 20, 30]))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        text, passage = say(40), list(items[i % 12][1])
+        for _ in range(rng.randint(0, 4)):
+            passage[rng.randrange(len(passage))] = "other"
+        text[20:20] = passage if i % 2 else []
+        docs.append((i, text))
+    expected = {}
+    for d, text in docs:
+        for k, item in items:
+            best = 0.0
+            for offset in range(8 - len(item), len(text) - 7):
+                low, high = max(offset, 0), min(len(text), offset + len(item))
+                same = [text[p] == item[p - offset] for p in range(low, high)]
+                if len(same) < 8:
+                    continue
+                seeds = any(all(p + m < high and text[p + m] == item[p + m - offset] for m in mask) and p + 8 <= high for mask in decontaminate.MASKS for p in range(low, high))
+                width = min(16, len(same))
+                if seeds:
+                    best = max(best, max(sum(same[j : j + width]) for j in range(len(same) - width + 1)) / width)
+            if best >= 0.75:
+                expected[d, k] = best
+    found = decontaminate.contaminated(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string"),
+    )
+    assert {(r.doc_id, r.item_id): r.matched / r.compared for r in found.collect()} == expected and len(expected) > 20
+
+
 # --- language id
 
 
@@ -231,11 +280,12 @@ def windows(text, size=secrets.WINDOW):
         word = m[0]
         if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word) or any(re.search(p, word) for p in secrets.ALLOWED):
             continue
-        limit = secrets.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", word) else secrets.OTHER_BITS
         passing = []
         for i in range(len(word) - size + 1):
-            bits = -sum(c / size * math.log2(c / size) for c in Counter(word[i : i + size]).values())
-            if bits + 1e-9 >= limit:
+            part = word[i : i + size]
+            limit = secrets.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", part) else secrets.OTHER_BITS
+            bits = -sum(c / size * math.log2(c / size) for c in Counter(part).values())
+            if bits + 1e-9 >= limit and not part.isdigit():
                 passing.append(i)
         if passing:
             out.append((m.start() + passing[0], m.start() + passing[-1] + size))
@@ -256,6 +306,22 @@ def test_entropy_spans_equal_plain_windows(spark):
     assert any(windows(t) for t in texts)
 
 
+@pytest.mark.parametrize("prefix, digits, size", [("KEY=", "0123456789ABCDEF", 24), ("id_", "0123456789abcdef", 24), ("sample_auth=", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32), ("", "0123456789ABCDEF", 24)])
+def test_random_secrets_are_found_behind_names(spark, prefix, digits, size):
+    rng = random.Random(5)
+    words = ["".join(rng.choice(digits) for _ in range(size)) for _ in range(200)]
+    frame = spark.createDataFrame([(i, f"see {prefix}{w} here") for i, w in enumerate(words)], "doc_id long, text string")
+    found = secrets.scan(frame).where("size(secret_spans) > 0").count()
+    assert found >= 190
+
+
+def test_numbers_and_an_empty_table_have_no_secrets(spark):
+    texts = ["order x12345678901234567890 of a1", "n" + "1234567890" * 3000, "a1" * 30000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.scan(frame).where("exists(secret_spans, s -> s.kind = 'entropy')").count() == 0
+    assert secrets.scan(frame.limit(0)).count() == 0
+
+
 def test_query_equals_its_sql(spark, tmp_path):
     import duckdb
 
