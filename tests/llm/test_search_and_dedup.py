@@ -245,7 +245,11 @@ def five_words(text):
     return {" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
 
 
-def test_near_duplicate_stage_equals_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [1024, 6])
+def test_near_duplicate_stage_equals_brute_force(spark, monkeypatch, block_rows):
+    from ramify.llm import shingles
+
+    monkeypatch.setattr(shingles, "BLOCK_ROWS", block_rows)  # the second: groups of several blocks
     rng = random.Random(9)
     say = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
     common, docs = say(40), []
@@ -279,3 +283,18 @@ def test_near_duplicate_stage_equals_brute_force(spark):
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect())
     assert got == sorted(set(root))
+
+
+def test_a_passage_in_many_rows_makes_few_pairs(spark, monkeypatch):
+    from ramify.llm import shingles
+
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = say(60)
+    docs = [say(60) + (passage if i % 3 == 0 else []) + say(60) for i in range(600)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    seen, real = [], shingles._judged
+    monkeypatch.setattr(shingles, "_judged", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    assert corpus_pipeline.near_duplicate_stage(spark, frame, "").count() == 600
+    assert sum(seen) < 60
+    assert corpus_pipeline.near_duplicate_stage(spark, frame.limit(0), "").count() == 0
