@@ -28,16 +28,18 @@ WINDOW = 16
 SIMILARITY = 0.75
 
 
-#: Scripts without blanks between words: every letter is a token, with the marks on it.
-LETTERWISE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Scripts without blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han), by ranges, which cost far less
+#: than names of scripts: every letter is a token, with the marks on it.
+LETTERWISE = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+#: A range that holds all of them, to tell quickly that a text has none.
+_BEYOND = r"[\u0E00-\x{3FFFF}]"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, their marks, and digits, or single letters of ``LETTERWISE`` scripts; null or blank text has none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(low.rlike(LETTERWISE), F.regexp_replace(low, rf"({LETTERWISE}\p{{M}}*)", " $1 ")).otherwise(low)
-    clean = F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}\p{M}]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    apart = F.when(text.rlike(_BEYOND), F.regexp_replace(low, rf"({LETTERWISE}\p{{M}}*)", " $1 ")).otherwise(low)
+    return F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
 
 
 def _seeds(table: DataFrame, keys: list[str], words: str) -> DataFrame:
