@@ -21,13 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ramify.llm.texts import tidy
 from ramify.session import RunFolder
 
 WINDOW = 4096
 #: Pieces of a shard, on average. Padding is below one window per shard and that of best fit.
 SHARD_PIECES = 8192
 #: Words whose ids a task remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000
 
 
 #: Words of letters whose lower case and normal form are the same in every Unicode version.
@@ -178,7 +179,7 @@ def tokenized(docs: DataFrame, path: str, keys: list[Column], text: str = "text"
                 yield pa.RecordBatch.from_arrays([*rest, *made, pa.array(ids, pa.binary())], names=[*names, "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     kept = ", ".join(f"`{n}` {k}" for n, k in wanted.dtypes if n != "__text")
-    return wanted.mapInArrow(cut, f"{kept}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return wanted.mapInArrow(tidy(cut), f"{kept}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

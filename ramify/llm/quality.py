@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.texts import mixed, pieces, word_hashes
+from ramify.llm.texts import mixed, pieces, tidy, word_hashes
 from ramify.session import RunFolder
 
 BINS = 1 << 12
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, text: str, good: Column) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["bin", "raw", "target"])
 
     rows = docs.select(F.col(text).alias("t"), F.coalesce(good, F.lit(False)).alias("g"))
-    sums = rows.mapInArrow(count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = rows.mapInArrow(tidy(count), "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BINS), np.zeros(BINS)
     for r in sums.collect():  # at most BINS rows
         raw[r["bin"]], target[r["bin"]] = r["raw"], r["target"]
@@ -115,7 +115,7 @@ def weigh(docs: DataFrame, text: str, weights: np.ndarray) -> DataFrame:
 
     hashed = docs.withColumn("__noise", F.xxhash64(F.lit("gumbel"), *_plain(docs)))
     kept = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return hashed.mapInArrow(score, f"{kept}, __mean double, __key double")
+    return hashed.mapInArrow(tidy(score), f"{kept}, __mean double, __key double")
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
