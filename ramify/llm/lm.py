@@ -1,7 +1,7 @@
 """Hidden Markov language model over word classes.
 
-The ``HEAD`` most frequent words are classes of their own, the end of a text is one, and all
-other words fall into ``TAIL`` classes by their last letters.  A hidden Markov model with
+The ``HEAD`` most frequent words (fewer where the last ones tie with others) are classes of their own,
+the end of a text is one, and all other words fall into ``TAIL`` classes by their last letters.  A hidden Markov model with
 ``STATES`` states emits classes; a word of a tail class follows from its count there, less a
 discount that goes to the class's unseen words as one event (the base model, too, treats an
 unseen word as one event).  So a text's probability is
@@ -9,9 +9,10 @@ unseen word as one event).  So a text's probability is
     P(classes | states, transitions, emissions) * product of P(word | tail class)
 
 Training is Baum-Welch.  Word counts, expected transitions and expected emissions are summed
-over all training rows: each task adds up its own, and the sums meet by key.  Training
-sequences are cut into segments; a text is scored whole, with the scaled forward recursion.
-A bounded sample only gives the first guess of the states.
+over all training rows in every pass: each task adds up its own, and the sums meet by key.  The
+first guess is random emissions around the shares of all rows.  Long sequences are worked on in segments, side
+by side; what enters a segment and what follows it comes from the products of the segments' matrices, so
+the counts are those of whole texts.  A text is scored whole, with the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ramify.llm.quality import kth_largest
 from ramify.llm.texts import bounds, mixed, pieces, ragged, word_hashes, words
 from ramify.session import RunFolder
 
 HEAD, TAIL, STATES = 16384, 1024, 8
-#: Full passes over the training rows; rows and tokens of each that give the first guess, and its passes.
-PASSES, FIRST_ROWS, FIRST_TOKENS, FIRST_PASSES = 3, 600, 1024, 20
+#: Passes over all training rows.
+PASSES = 10
 #: Tokens of a training segment, and tokens worked on at once.
-SEGMENT, STEP_TOKENS = 256, 400_000
+SEGMENT, STEP_TOKENS = 512, 400_000
 DISCOUNT = 0.7
 #: Weight of the class's share in all states when emissions are estimated, and of even transitions.
 PULL, EVEN = 50.0, 1.0
@@ -114,45 +116,87 @@ def updated(start: np.ndarray, moves: np.ndarray, emit: np.ndarray, share: np.nd
     return start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)
 
 
+def matrices(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each segment the weight of going from a state at its first token to one at its last, emitting it all; each scaled."""
+    _, moves, emit = model
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    live = np.searchsorted(-size, -np.arange(size[0]), "left")
+    through = np.eye(len(moves)) * emit[flat[begin]][:, None, :]
+    for t, n in enumerate(live):
+        if t:
+            through[:n] = (through[:n] @ moves) * emit[flat[begin[:n] + t]][:, None, :]
+        through[:n] /= through[:n].max((1, 2), keepdims=True)
+    out = np.empty_like(through)
+    out[order] = through
+    return out
+
+
 class Expected:
     """Expected counts of many sequences, added up segment by segment."""
 
     def __init__(self, model: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.start, self.moves, self.emit = model
         states = len(self.start)
-        # a segment inside a text begins with the long-run mix of states
-        mix = np.linalg.matrix_power(self.moves, 64)[0]
-        self.mix = mix / mix.sum()
         self.first, self.moved, self.emitted = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
 
-    def add(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray) -> None:
-        """Segments ``flat[begin : begin + size]``; ``opening``: it is the start of its text."""
+    def edges(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment, the states of the token before it (a distribution) and the weight of all that follows, by the state at its end.
+
+        An opening segment's first row is not used.
+        """
+        before, after = np.zeros((len(begin), len(self.start))), np.ones((len(begin), len(self.start)))
+        last = np.append(opening[1:], True)
+        cut = np.flatnonzero(~(opening & last))
+        if not len(cut):
+            return before, after
+        through = matrices(flat, begin[cut], size[cut], (self.start, self.moves, self.emit))
+        heads = np.flatnonzero(opening[cut])
+        parts = np.diff(np.append(heads, len(cut)))
+        order = np.argsort(-parts, kind="stable")
+        heads, parts = heads[order], parts[order]
+        live = np.searchsorted(-parts, -np.arange(parts[0]), "left")  # texts with more than p segments
+        for p in range(1, len(live)):
+            at = heads[: live[p]] + p - 1
+            enter = before[cut[at]] @ self.moves if p > 1 else np.tile(self.start, (len(at), 1))
+            end = (enter[:, None, :] @ through[at])[:, 0]
+            before[cut[at + 1]] = end / end.sum(1, keepdims=True)
+        for p in range(len(live) - 1, 0, -1):
+            at = heads[: live[p]] + p
+            rest = (through[at] @ after[cut[at]][:, :, None])[:, :, 0] @ self.moves.T
+            after[cut[at - 1]] = rest / rest.sum(1, keepdims=True)
+        return before, after
+
+    def add(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+        """Segments ``flat[begin : begin + size]`` with their edges; ``opening``: it is the start of its text."""
         order = np.argsort(-size, kind="stable")
-        begin, size, opening = begin[order], size[order], opening[order]
+        begin, size, opening, before, after = begin[order], size[order], opening[order], before[order], after[order]
         live = np.searchsorted(-size, -np.arange(size[0]), "left")  # segments longer than t
         rows = np.concatenate([[0], np.cumsum(live)])
         seen = flat[np.concatenate([begin[:n] + t for t, n in enumerate(live)])]
         states = len(self.start)
         emit = self.emit[seen]
         ahead, scale = np.empty((len(seen), states)), np.empty(len(seen))
-        a = np.where(opening[:, None], self.start, self.mix)
+        a = np.where(opening[:, None], self.start, before @ self.moves)
         for t, n in enumerate(live):
             at = slice(rows[t], rows[t + 1])
             a = (a if t == 0 else a[:n] @ self.moves) * emit[at]
             s = a.sum(1)
             a /= s[:, None]
             ahead[at], scale[at] = a, s
-        back = np.ones((live[-1], states))
         both = np.empty_like(ahead)
+        w = np.empty((0, states))
         for t in range(len(live) - 1, -1, -1):
-            at = slice(rows[t], rows[t + 1])
+            at, n = slice(rows[t], rows[t + 1]), len(w)
+            back = after[: live[t]].copy()
+            back[:n] = w @ self.moves.T
+            ends = slice(n, live[t])
+            back[ends] /= (ahead[at][ends] * back[ends]).sum(1, keepdims=True)
             both[at] = ahead[at] * back
-            if t:
-                w = emit[at] * back / scale[at][:, None]
-                n = live[t]
-                self.moved += ahead[rows[t - 1] : rows[t - 1] + n].T @ w
-                back = np.ones((live[t - 1], states))
-                back[:n] = w @ self.moves.T
+            w = emit[at] * back / scale[at][:, None]
+            prior = ahead[rows[t - 1] : rows[t - 1] + live[t]] if t else before
+            inside = w if t else w * ~opening[:, None]
+            self.moved += prior.T @ inside
         self.first += both[: live[0]][opening].sum(0)
         for k in range(states):
             self.emitted[:, k] += np.bincount(seen, both[:, k], len(self.emit))
@@ -171,11 +215,14 @@ def segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _expect(total: Expected, flat: np.ndarray, size: np.ndarray) -> None:
+    if not len(size):
+        return
     begin, length, opening = segments(size)
+    before, after = total.edges(flat, begin, length, opening)
     step = np.cumsum(length) // STEP_TOKENS
     for s in np.unique(step):
         took = step == s
-        total.add(flat, begin[took], length[took], opening[took])
+        total.add(flat, begin[took], length[took], opening[took], before[took], after[took])
 
 
 def forward(flat: np.ndarray, size: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -210,12 +257,13 @@ class LanguageModel:
         self.texts = rows.where("__train").count()
         n, v = self.counts.agg(F.sum("n"), F.count("*")).first()
         self.n, self.v = (n or 0) + self.texts, v + (self.texts > 0)
-        head = self.counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+        # words that tie at the limit stay in the tail, so there are at most HEAD
+        least = kth_largest(self.counts.select(F.col("n").cast("double").alias("n")), "n", HEAD + 1) if v > HEAD else 0.0
+        in_head = F.col("n") > F.lit(least)
+        head = self.counts.where(in_head).toArrow()
         words_, times = head.column("word").to_numpy(), head.column("n").to_numpy()
         by_word = np.argsort(words_.view(np.uint64))
         self.head, self.times = words_[by_word].view(np.uint64), times[by_word]
-        last = (int(times[-1]), int(words_[-1])) if len(times) else (0, 0)
-        in_head = (F.col("n") > last[0]) | ((F.col("n") == last[0]) & (F.col("word") <= last[1]))
         tail = self.counts.where(~in_head).groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
         self.tail_n, self.tail_v = np.zeros(TAIL), np.zeros(TAIL)
         self.tail_n[tail.column("c").to_numpy()] = tail.column("n").to_numpy()
@@ -224,7 +272,7 @@ class LanguageModel:
         share = np.concatenate([self.times, np.zeros(HEAD - len(self.times)), [self.texts], self.tail_n]) + 0.5
         self.share = share / share.sum()
         self.sequences = self.folder.cut(self._sequences(rows), "sequences")
-        self.model = self._first_guess()
+        self.model = random_model(self.share, STATES)
         for _ in range(passes if self.n else 0):
             self.model = self._pass()
 
@@ -261,18 +309,6 @@ class LanguageModel:
         kept = ", ".join(f"`{n}` {k}" for n, k in wanted.dtypes if n != "t")
         return wanted.mapInArrow(classify, f"{kept}, classes binary, tail array<struct<word:bigint,c:int,times:int>>")
 
-    def _first_guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        model = random_model(self.share, STATES)
-        few = self.sequences.where("__train").select(F.substring("classes", 1, 2 * FIRST_TOKENS).alias("classes"), F.xxhash64("row", "classes").alias("h"))
-        found = few.orderBy("h").limit(FIRST_ROWS).toArrow().column("classes").to_pylist()
-        size = np.array([len(x) // 2 for x in found], np.int64)
-        flat = np.frombuffer(b"".join(found), np.uint16)
-        for _ in range(FIRST_PASSES if len(size) else 0):
-            total = Expected(model)
-            _expect(total, flat, size)
-            model = updated(*total.counts(), self.share)
-        return model
-
     def _pass(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One Baum-Welch step over all training rows."""
         model = self.model

@@ -168,12 +168,15 @@ def test_forward_sums_over_all_paths():
     assert np.allclose(got, [plain_likelihood(s, start, moves, emit) for s in sequences])
 
 
-def test_expected_counts_are_posteriors(monkeypatch):
+@pytest.mark.parametrize("segment", [512, 1, 2, 3])
+def test_expected_counts_are_posteriors_of_whole_texts(monkeypatch, segment):
+    monkeypatch.setattr(lm, "SEGMENT", segment)
     rng = np.random.default_rng(8)
     model = rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(4), 2).T
-    sequences = [rng.integers(0, 4, n) for n in (3, 5, 1)]
+    sizes = (3, 7, 1, 5, 8)
+    sequences = [rng.integers(0, 4, n) for n in sizes]
     total = lm.Expected(model)
-    lm._expect(total, np.concatenate(sequences), np.array([3, 5, 1]))
+    lm._expect(total, np.concatenate(sequences), np.array(sizes))
     first, moved, emitted = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
     for s in sequences:
         weights = {}
@@ -193,6 +196,21 @@ def test_expected_counts_are_posteriors(monkeypatch):
         assert np.allclose(got, want)
 
 
+def test_segments_change_no_count(monkeypatch):
+    rng = np.random.default_rng(10)
+    model = rng.dirichlet(np.ones(8)), 0.9 * np.eye(8) + 0.1 * rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.full(50, 0.1), 8).T
+    sizes = np.array([3000, 1, 512, 513, 1024, 40])
+    flat_, got = rng.integers(0, 50, sizes.sum()), []
+    for segment in (64, 512, 4096):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        total = lm.Expected(model)
+        lm._expect(total, flat_, sizes)
+        got.append(total.counts())
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert np.allclose(a, b)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(9)
     hidden = np.repeat(rng.integers(0, 2, 60), 20)
