@@ -125,8 +125,8 @@ def matrices(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, model: tuple
     through = np.eye(len(moves)) * emit[flat[begin]][:, None, :]
     for t, n in enumerate(live):
         if t:
-            through[:n] = (through[:n] @ moves) * emit[flat[begin[:n] + t]][:, None, :]
-        through[:n] /= through[:n].max((1, 2), keepdims=True)
+            through[:n] = (through[:n].reshape(-1, len(moves)) @ moves).reshape(n, *moves.shape) * emit[flat[begin[:n] + t]][:, None, :]
+        through[:n] /= through[:n].reshape(n, -1).max(1)[:, None, None]
     out = np.empty_like(through)
     out[order] = through
     return out
