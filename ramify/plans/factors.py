@@ -3,7 +3,7 @@
 ``Factorization`` keeps what a solve of ``(U V' + diag(D)) x = b`` makes out of the matrix alone:
 
 * one row per leaf: its rows' keys, the LU factors and pivots of its dense block ``K``, ``u = K^-1 U`` and
-  ``s = K^-T V``;
+  ``s = K^-T V`` (leaves are factored and solved many at once);
 * one row per inner node of the tree (which merges up to ``2**FAN_IN`` children): the LU factors of its
   coupling systems with the grams and solutions that they go with.
 
@@ -30,20 +30,30 @@ from ramify.operators.kernels import (
     lu_factor,
     lu_solve,
     replay_sweep,
+    solve,
 )
 from ramify.plans.tree import FAN_IN, NODE_BYTES, Layout, _chunks
 from ramify.session import BROADCAST_BYTES, RunFolder
 
 #: Row groups of the leaf table stay small, so that a scan of it is dealt over many tasks.
 LEAF_GROUP_BYTES = 16 << 20
+#: Leaves are worked on in stacks whose dense blocks take about this many bytes.
+STACK_BYTES = 4 << 20
 _STEPS = ("lu", "perm", "g0", "g1", "eta")
 
 
-def _lists(column: pa.Array) -> Iterator[np.ndarray]:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    return column.offsets.to_numpy(), column.values.to_numpy()
+
+
+def _stacks(sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Neighbouring leaves of equal size as ``(size, first, end)``, bounded by the bytes of their blocks."""
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        n = int(sizes[lo]) if hi > lo else 1
+        step = max(1, STACK_BYTES // (8 * n * n))
+        yield from ((n, at, min(at + step, hi)) for at in range(lo, hi, step))
 
 
 class Factorization:
@@ -74,39 +84,46 @@ class Factorization:
         fields = ", ".join(f"{n}: {system.schema[c].dataType.simpleString()}" for c, n in zip(carried, names, strict=True))
         schema = f"grp bigint, seq bigint, n int, rows array<struct<{fields}>>, lu array<double>, perm array<int>, u array<double>, s array<double>, g array<double>"
 
-        def factored(table: pa.Table, grp: int, seq: int) -> pa.Table:
-            n = table.num_rows
-            u, v, d = (dense_rows(table.column(c), n) for c in ("u", "v", "d"))
-            k = low_rank_block(u, v, d[:, 0])[None]
-            where = f"leaf ({grp}, {seq})"
-            lu, perm = lu_factor(k, where)
-            solved = lu_solve(lu, perm, u[None])[0]
-            turned, order = lu_factor(np.swapaxes(k, 1, 2), where)
-            s = lu_solve(turned, order, v[None])[0]
+        def stack(table: pa.Table, grp: int, seq: int, n: int) -> pa.Table:
+            """The factors of neighbouring leaves of ``n`` rows each."""
+            m = table.num_rows // n
+            u, v, d = (dense_rows(table.column(c), m * n).reshape(m, n, -1) for c in ("u", "v", "d"))
+            k = low_rank_block(u, v, d[:, :, 0])
+            try:
+                lu, perm = lu_factor(k, f"leaf ({grp}, {seq})")
+            except ValueError:
+                for at in range(m if m > 1 else 0):
+                    lu_factor(k[at : at + 1], f"leaf ({grp}, {seq + at})")
+                raise
+            solved = lu_solve(lu, perm, u)
+            s = solve(np.swapaxes(k, 1, 2), v, f"leaf ({grp}, {seq})")
             rows = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in names], names=names)
-            ends = pa.array(np.array([0, n], np.int32))
-            whole = lambda x: list_column(np.ascontiguousarray(x).reshape(1, -1))
+            ends = pa.array(np.arange(0, (m + 1) * n, n, dtype=np.int32))
             return pa.Table.from_arrays(
                 [
-                    pa.array([grp], pa.int64()),
-                    pa.array([seq], pa.int64()),
-                    pa.array([n], pa.int32()),
+                    pa.array(np.full(m, grp, np.int64)),
+                    pa.array(np.arange(seq, seq + m, dtype=np.int64)),
+                    pa.array(np.full(m, n, np.int32)),
                     pa.ListArray.from_arrays(ends, rows),
-                    whole(lu),
-                    pa.ListArray.from_arrays(ends, pa.array(perm[0].astype(np.int32))),
-                    whole(solved),
-                    whole(s),
-                    whole(v.T @ solved),
+                    *(list_column(x.reshape(m, -1)) for x in (lu, perm.astype(np.int32), solved, s)),
+                    list_column((np.swapaxes(v, 1, 2) @ solved).reshape(m, -1)),
                 ],
                 ["grp", "seq", "n", "rows", "lu", "perm", "u", "s", "g"],
             )
 
+        many = max(1, STACK_BYTES // (8 * leaf * leaf))
+
         if layout is None:
 
             def by_input(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grp = TaskContext.get().partitionId()
-                for seq, table in enumerate(_chunks(batches, leaf)):
-                    yield from factored(table, grp, seq).to_batches()
+                for k, table in enumerate(_chunks(batches, leaf * many)):
+                    whole, seq = table.num_rows // leaf, k * many
+                    if whole:
+                        yield from stack(table.slice(0, whole * leaf), grp, seq, leaf).to_batches()
+                    if table.num_rows > whole * leaf:
+                        rest = table.slice(whole * leaf)
+                        yield from stack(rest, grp, seq + whole, rest.num_rows).to_batches()
 
             leaves = system.select(*inputs).mapInArrow(by_input, schema)
         else:
@@ -118,7 +135,7 @@ class Factorization:
             )
 
             def by_position(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-                return factored(table.sort_by("_pos"), *(value.as_py() for value in group))
+                return stack(table.sort_by("_pos"), *(value.as_py() for value in group), table.num_rows)
 
             leaves = placed.groupBy("_grp", "_cut").applyInArrow(by_position, schema)
 
@@ -198,8 +215,12 @@ class Factorization:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [s.reshape(-1, r).T @ b.reshape(-1, nrhs) for s, b in zip(_lists(batch.column("s")), _lists(batch.column("b")), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), list_column(np.stack(out).reshape(len(out), -1))], ["id", "y"])
+                (s_at, s), (b_at, b) = _flat(batch.column("s")), _flat(batch.column("b"))
+                out = np.zeros((batch.num_rows, r * nrhs))
+                for n, lo, hi in _stacks(batch.column("n").to_numpy()):
+                    left = s[s_at[lo] : s_at[hi]].reshape(-1, n, r)
+                    out[lo:hi] = (np.swapaxes(left, 1, 2) @ b[b_at[lo] : b_at[hi]].reshape(-1, n, nrhs)).reshape(hi - lo, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), list_column(out)], ["id", "y"])
 
         def replay(group: tuple[pa.Scalar, ...], given: pa.Table, table: pa.Table) -> pa.Table:
             table = table.sort_by("id")
@@ -216,7 +237,7 @@ class Factorization:
             node = pa.array(np.full(n, group[0].as_py(), np.int64))
             return pa.Table.from_arrays([table.column("id").combine_chunks(), node, list_column(x.reshape(n, -1)), top], ["id", "node", "y", "top"])
 
-        below = leaves.select("id", "s", "b").mapInArrow(sums, "id bigint, y array<double>")
+        below = leaves.select("id", "n", "s", "b").mapInArrow(sums, "id bigint, y array<double>")
         out: list[DataFrame] = []
         for step, factors in self.stages:
             below = below.withColumn("node", F.shiftright("id", step))
@@ -267,14 +288,18 @@ class Factorization:
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
-                for k, (n, lu, perm, u, b) in enumerate(zip(batch.column("n").to_pylist(), *(_lists(batch.column(c)) for c in columns[2:6]), strict=True)):
-                    x = lu_solve(lu.reshape(1, n, n), perm.reshape(1, n), b.reshape(1, n, nrhs))[0]
+                if not batch.num_rows:
+                    continue
+                flat = [_flat(batch.column(c)) for c in ("lu", "perm", "u", "b")]
+                c = dense_rows(batch.column("c"), batch.num_rows).reshape(-1, r, nrhs) if coupled else None
+                for n, lo, hi in _stacks(batch.column("n").to_numpy()):
+                    m = hi - lo
+                    lu, perm, u, b = (x[at[lo] : at[hi]].reshape(m, n, -1) for at, x in flat)
+                    x = lu_solve(lu, perm[:, :, 0].astype(np.int64), b)
                     if coupled:
-                        x -= u.reshape(n, r) @ np.array(batch.column("c")[k].as_py()).reshape(r, nrhs)
-                    found.append(x)
-                kept = batch.column("rows").flatten().flatten()[: len(keys)]
-                yield pa.RecordBatch.from_arrays([*kept, list_column(np.concatenate(found))], [*keys, "x"])
+                        x -= u @ c[lo:hi]
+                    kept = batch.column("rows").slice(lo, m).flatten().flatten()[: len(keys)]
+                    yield pa.RecordBatch.from_arrays([*kept, list_column(x.reshape(m * n, nrhs))], [*keys, "x"])
 
         schema = ", ".join(f"`{k}` {kind}" for k, kind in zip(keys, kinds, strict=True)) + ", x array<double>"
         return leaves.select(*columns).mapInArrow(rows, schema)
