@@ -18,7 +18,7 @@ from ramify.catalog.base import (
 from ramify.functions.algebra import Matrix, Vector
 from ramify.plans.hodlr import Hodlr
 from ramify.sources.generators import map_seeds, part_seeds, random_matrix, random_vector, seeded_rows
-from ramify.sources.tables import read_table
+from ramify.sources.tables import read_table, spread
 
 SPEND = "SELECT o_custkey AS i, sum(o_totalprice) AS v FROM orders GROUP BY o_custkey"
 SUPPLY = (
@@ -98,7 +98,7 @@ SELECT part * 2 + k // 3 AS i, k % 3 AS j, x::DOUBLE / 281474976710656.0 AS v FR
 )
 def block_rand(spark, folder):
     """A 2-by-3 block per customer, seeded by the customer's key."""
-    customer = read_table(spark, folder, "customer")
+    customer = spread(read_table(spark, folder, "customer"), "c_custkey")
     seeds = customer.select(F.col("c_custkey").alias("part"), (F.col("c_custkey") + 1).alias("seed"))
     rows = seeded_rows(seeds, 2, 3)
     return Matrix.from_rows(rows, "i", "row", 3, customer.count() * 2).df

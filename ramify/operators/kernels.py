@@ -214,6 +214,18 @@ def lcg_states(seed: int, skip: int, count: int) -> np.ndarray:
     return states[1:] & np.uint64(LCG_MASK)
 
 
+def uniform_many(seeds: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` draws in [0, 1) of each seed, a row per seed."""
+    low = np.asarray(seeds, np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+    start = (low << np.uint64(16)) + np.uint64(LCG_SEED_LOW)
+    powers = np.full(count + 1, LCG_MULTIPLIER, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.add.accumulate(powers[:-1])
+    states = powers[1:] * start[:, None] + sums * np.uint64(LCG_INCREMENT)
+    return (states & np.uint64(LCG_MASK)) / float(1 << 48)
+
+
 def uniform(seed: int, skip: int, count: int) -> np.ndarray:
     """Uniform draws in [0, 1)."""
     return lcg_states(seed, skip, count) / float(1 << 48)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.functions.algebra import Matrix, Vector
-from ramify.operators.kernels import lcg_states, list_column, uniform
+from ramify.operators.kernels import lcg_states, list_column, uniform, uniform_many
 
 #: Entries drawn per emitted batch.
 DRAWS = 1 << 17
@@ -47,6 +47,19 @@ def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0, ro
     ``rows`` ends the last part early.
     """
     step = max(1, DRAWS // cols)
+    together = step // part_rows
+
+    def draw_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of few rows, many at once."""
+        for batch in batches:
+            parts, seeds = batch.column("part").to_numpy(), batch.column("seed").to_numpy()
+            for at in range(0, len(parts), together):
+                own = slice(at, at + together)
+                values = uniform_many(seeds[own], part_rows * cols).reshape(-1, cols) + offset
+                ids = (parts[own][:, None] * part_rows + np.arange(part_rows)).ravel()
+                if rows is not None:
+                    values, ids = values[ids < rows], ids[ids < rows]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), list_column(values)], ["i", "row"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +72,8 @@ def seeded_rows(seeds: DataFrame, part_rows: int, cols: int, offset: int = 0, ro
                     ids = pa.array(np.arange(first, first + n, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([ids, list_column(values)], ["i", "row"])
 
-    return seeds.select("part", "seed").mapInArrow(draw, "i bigint, row array<double>")
+    seeds = seeds.select(F.col("part").cast("bigint"), F.col("seed").cast("bigint"))
+    return seeds.mapInArrow(draw_parts if together > 1 else draw, "i bigint, row array<double>")
 
 
 def random_matrix(spark: SparkSession, rows: int, cols: int, parts: int, seed: int, offset: int = 0) -> Matrix:
