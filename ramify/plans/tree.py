@@ -25,8 +25,8 @@ from ramify.session import BROADCAST_BYTES, RunFolder
 #: fewer where the rank makes them large.
 FAN_IN = 6
 NODE_BYTES = 64 << 20
-#: A part's input stays near this size.
-PART_BYTES = 64 << 20
+#: A part's input stays near this size; a task holds several copies of it.
+PART_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -113,8 +113,9 @@ def solve_parts(
     rows is cut further by position, which is exact because any cut of the rows
     gives the same solution.
     """
-    part_rows = part_rows or default_part_rows(leaf, rank + gram_rows + nrhs + 1)
     key_fields = [rows.schema[k] for k in keys]
+    carried = sum(rank if f.dataType.typeName() == "array" else 1 for f in key_fields)
+    part_rows = part_rows or default_part_rows(leaf, rank + gram_rows + nrhs + 1 + carried)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     schema += ", grp bigint, seq bigint, d array<double>, u array<double>, g array<double>"
     names = [*keys, "grp", "seq", "d", "u", "g"]
