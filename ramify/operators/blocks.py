@@ -24,8 +24,9 @@ from ramify.session import BROADCAST_BYTES, RunFolder
 SCHEMA = "part bigint, row0 bigint, nrow int, data array<double>"
 #: A stored block stays near this size.
 BLOCK_BYTES = 4 << 20
-#: Partial products a task holds before handing them to the shuffle.
+#: Partial products a task holds before handing them to the shuffle, and their bytes.
 HELD_GROUPS = 256
+HELD_BYTES = 16 << 20
 
 
 def _cells(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
@@ -48,9 +49,15 @@ def _per_block(work: Callable[..., np.ndarray], *names: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, parts = batch.column("nrow").to_pylist(), batch.column("part").to_pylist()
-            out = [work(*args) for args in zip(rows, parts, *(_cells(batch, n) for n in names))]
-            columns = [batch.column(c) for c in ("part", "row0", "nrow")]
-            yield pa.RecordBatch.from_arrays([*columns, _ragged(out)], ["part", "row0", "nrow", "data"])
+            out, first, held = [], 0, 0
+            for k, args in enumerate(zip(rows, parts, *(_cells(batch, n) for n in names)), 1):
+                out.append(work(*args))
+                held += out[-1].nbytes
+                # new blocks may be wider than the old ones
+                if held >= BLOCK_BYTES or k == len(rows):
+                    columns = [batch.column(c).slice(first, k - first) for c in ("part", "row0", "nrow")]
+                    yield pa.RecordBatch.from_arrays([*columns, _ragged(out)], ["part", "row0", "nrow", "data"])
+                    out, first, held = [], k, 0
 
     return run
 
@@ -435,6 +442,7 @@ class RowBlocks:
         _check(by_row or (a.whole_parts and b.whole_parts), "this product needs every part in one block")
         color = a.parts // parts
         see_a, see_b = a._view(), b._view()
+        limit = max(1, min(HELD_GROUPS, HELD_BYTES // (8 * m * n)))
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
@@ -449,7 +457,7 @@ class RowBlocks:
             for batch in batches:
                 colors = (batch.column("part").to_numpy() // color).tolist()
                 for c, x, y in zip(colors, *(_cells(batch, name) for name in names)):
-                    if c not in held and len(held) >= HELD_GROUPS:
+                    if c not in held and len(held) >= limit:
                         yield emit()
                     product = _product(_op(see_a(x), ta), _op(see_b(y), tb))
                     total = held.setdefault(c, np.zeros((m, n)))
