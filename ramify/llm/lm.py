@@ -10,8 +10,9 @@ unseen word as one event).  So a text's probability is
 
 Training is Baum-Welch.  Word counts, expected transitions and expected emissions are summed
 over all training rows in every pass: each task adds up its own, and the sums meet by key.  The
-first guess is random emissions around the shares of all rows.  Long sequences are worked on in segments, side
-by side; what enters a segment and what follows it comes from the products of the segments' matrices, so
+first guess is random emissions around the shares of all rows.  Sequences are worked on side by side, those of
+like length together, and scaled every few steps; the longest, which few others last as long as, are cut into
+segments.  What enters a segment and what follows it comes from the products of the segments' matrices, so
 the counts are those of whole texts.  A text is scored whole, with the scaled forward recursion.
 """
 
@@ -33,6 +34,8 @@ HEAD, TAIL, STATES = 16384, 1024, 8
 PASSES = 10
 #: Tokens of a training segment, and tokens worked on at once.
 SEGMENT, STEP_TOKENS = 512, 400_000
+#: Sequences side by side that need no segments, and steps between two scalings.
+ABREAST, EVERY = 64, 4
 DISCOUNT = 0.7
 #: Weight of the class's share in all states when emissions are estimated, and of even transitions.
 PULL, EVEN = 50.0, 1.0
@@ -125,8 +128,9 @@ def matrices(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, model: tuple
     through = np.eye(len(moves)) * emit[flat[begin]][:, None, :]
     for t, n in enumerate(live):
         if t:
-            through[:n] = (through[:n].reshape(-1, len(moves)) @ moves).reshape(n, *moves.shape) * emit[flat[begin[:n] + t]][:, None, :]
-        through[:n] /= through[:n].reshape(n, -1).max(1)[:, None, None]
+            through[:n] = (through[:n].reshape(-1, len(moves)) @ moves).reshape(n, *moves.shape) * emit.take(flat[begin[:n] + t], axis=0)[:, None, :]
+        if t % EVERY == 0:
+            through[:n] /= through[:n].reshape(n, -1).max(1)[:, None, None]
     out = np.empty_like(through)
     out[order] = through
     return out
@@ -137,6 +141,8 @@ class Expected:
 
     def __init__(self, model: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.start, self.moves, self.emit = model
+        # a token's likeliest state emits it with weight 1, so few steps shrink no weight to zero
+        self.weight = self.emit / self.emit.max(1, keepdims=True)
         states = len(self.start)
         self.first, self.moved, self.emitted = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
 
@@ -150,7 +156,7 @@ class Expected:
         cut = np.flatnonzero(~(opening & last))
         if not len(cut):
             return before, after
-        through = matrices(flat, begin[cut], size[cut], (self.start, self.moves, self.emit))
+        through = matrices(flat, begin[cut], size[cut], (self.start, self.moves, self.weight))
         heads = np.flatnonzero(opening[cut])
         parts = np.diff(np.append(heads, len(cut)))
         order = np.argsort(-parts, kind="stable")
@@ -175,43 +181,59 @@ class Expected:
         rows = np.concatenate([[0], np.cumsum(live)])
         seen = flat[np.concatenate([begin[:n] + t for t, n in enumerate(live)])]
         states = len(self.start)
-        emit = self.emit[seen]
-        ahead, scale = np.empty((len(seen), states)), np.empty(len(seen))
+        sums = np.ones((states, states))  # a product with it puts a row's sum in each of its places
+        emit = self.weight.take(seen, axis=0)
+        ahead = np.empty_like(emit)
         a = np.where(opening[:, None], self.start, before @ self.moves)
         for t, n in enumerate(live):
-            at = slice(rows[t], rows[t + 1])
-            a = (a if t == 0 else a[:n] @ self.moves) * emit[at]
-            s = a.sum(1)
-            a /= s[:, None]
-            ahead[at], scale[at] = a, s
+            at = ahead[rows[t] : rows[t + 1]]
+            if t:
+                np.matmul(a[:n], self.moves, out=at)
+            else:
+                at[:] = a
+            at *= emit[rows[t] : rows[t + 1]]
+            if t % EVERY == 0:
+                at /= at @ sums
+            a = at
         both = np.empty_like(ahead)
+        turned = np.ascontiguousarray(self.moves.T)
         w = np.empty((0, states))
         for t in range(len(live) - 1, -1, -1):
             at, n = slice(rows[t], rows[t + 1]), len(w)
-            back = after[: live[t]].copy()
-            back[:n] = w @ self.moves.T
-            ends = slice(n, live[t])
-            back[ends] /= (ahead[at][ends] * back[ends]).sum(1, keepdims=True)
-            both[at] = ahead[at] * back
-            w = emit[at] * back / scale[at][:, None]
-            prior = ahead[rows[t - 1] : rows[t - 1] + live[t]] if t else before
-            inside = w if t else w * ~opening[:, None]
-            self.moved += prior.T @ inside
+            back = np.empty((live[t], states))
+            np.matmul(w, turned, out=back[:n])
+            back[n:] = after[n : live[t]]
+            part = ahead[at]
+            part = part / ((part * back) @ sums)
+            np.multiply(part, back, out=both[at])
+            self.moved += part[:n].T @ w
+            w = emit[at] * back
+            if t % EVERY == 0:
+                w /= w @ sums
         self.first += both[: live[0]][opening].sum(0)
-        for k in range(states):
-            self.emitted[:, k] += np.bincount(seen, both[:, k], len(self.emit))
+        inner = ~opening
+        if inner.any():
+            prior, w = before[inner], w[inner]
+            self.moved += (prior / ((prior * (w @ turned)) @ sums)).T @ w
+        for k, x in enumerate(np.ascontiguousarray(both.T)):
+            self.emitted[:, k] += np.bincount(seen, x, len(self.emit))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.first, self.moved * self.moves, self.emitted
 
 
 def segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, size, opening) of the segments of texts that lie one after another."""
+    """(begin, size, opening) of the segments of texts that lie one after another.
+
+    A text that ``ABREAST`` others last as long as is one segment.
+    """
     begin = np.cumsum(size) - size
-    parts = -(-size // SEGMENT)
+    whole = np.partition(size, -ABREAST)[-ABREAST] if len(size) > ABREAST else 0
+    parts = np.where(size <= whole, 1, -(-size // SEGMENT))
     of = np.repeat(np.arange(len(size)), parts)
     part = ragged(np.zeros(len(size), np.int64), parts)
-    return begin[of] + part * SEGMENT, np.minimum(SEGMENT, size[of] - part * SEGMENT), part == 0
+    length = np.where(parts[of] == 1, size[of], np.minimum(SEGMENT, size[of] - part * SEGMENT))
+    return begin[of] + part * SEGMENT, length, part == 0
 
 
 def _expect(total: Expected, flat: np.ndarray, size: np.ndarray) -> None:
@@ -219,9 +241,9 @@ def _expect(total: Expected, flat: np.ndarray, size: np.ndarray) -> None:
         return
     begin, length, opening = segments(size)
     before, after = total.edges(flat, begin, length, opening)
-    step = np.cumsum(length) // STEP_TOKENS
-    for s in np.unique(step):
-        took = step == s
+    order = np.argsort(-length, kind="stable")
+    step = np.cumsum(length[order]) // STEP_TOKENS
+    for took in np.split(order, np.flatnonzero(np.diff(step)) + 1):
         total.add(flat, begin[took], length[took], opening[took], before[took], after[took])
 
 
@@ -233,11 +255,14 @@ def forward(flat: np.ndarray, size: np.ndarray, model: tuple[np.ndarray, np.ndar
     begin, longest = begin[order], size[order]
     live = np.searchsorted(-longest, -np.arange(longest[0] if len(longest) else 0), "left")
     total, a = np.zeros(len(size)), np.tile(start, (len(size), 1))
+    left = np.append(live[1:], 0)  # sequences that go on after t
     for t, n in enumerate(live):
-        a = (a if t == 0 else a[:n] @ moves) * emit[flat[begin[:n] + t]]
-        s = a.sum(1)
-        a /= s[:, None]
-        total[:n] += np.log10(s)
+        a = (a if t == 0 else a[:n] @ moves) * emit.take(flat[begin[:n] + t], axis=0)
+        ends = left[t] if t % EVERY else 0
+        if ends < n:
+            s = a[ends:].sum(1)
+            total[ends:n] += np.log10(s)
+            a[ends:] /= s[:, None]
     out = np.empty(len(size))
     out[order] = total
     return out

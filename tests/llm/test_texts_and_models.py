@@ -211,6 +211,30 @@ def test_segments_change_no_count(monkeypatch):
             assert np.allclose(a, b)
 
 
+def test_texts_that_many_last_as_long_as_are_whole_and_scaling_changes_no_count(monkeypatch):
+    sizes = np.array([600] * 80 + [3000, 5000, 1, 700])
+    begin, size, opening = lm.segments(sizes)
+    assert opening.sum() == len(sizes) and size.sum() == sizes.sum()
+    assert (size == 600).sum() == 80 and size[~opening].max() == lm.SEGMENT  # the few longer ones are cut
+    assert (begin + size)[:-1].tolist() == begin[1:].tolist()
+    rng = np.random.default_rng(11)
+    # states that hardly move, and emissions far apart
+    moves = np.full((8, 8), 1e-10) + np.eye(8)
+    emit = rng.gamma(0.05, 1.0, (50, 8)) + 1e-18
+    model = rng.dirichlet(np.ones(8)), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)
+    flat_, got = rng.integers(0, 50, sizes.sum()), []
+    for abreast, every in ((1, 1), (64, 4), (10_000, 4)):
+        monkeypatch.setattr(lm, "ABREAST", abreast)
+        monkeypatch.setattr(lm, "EVERY", every)
+        total = lm.Expected(model)
+        lm._expect(total, flat_, sizes)
+        got.append((*total.counts(), lm.forward(flat_, sizes, model)))
+    assert got[0][2].sum() == pytest.approx(sizes.sum())
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert np.allclose(a, b, rtol=1e-6)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(9)
     hidden = np.repeat(rng.integers(0, 2, 60), 20)
