@@ -36,6 +36,8 @@ PASSES = 10
 SEGMENT, STEP_TOKENS = 512, 400_000
 #: Sequences side by side that need no segments, and steps between two scalings.
 ABREAST, EVERY = 64, 4
+#: Tokens whose posteriors are added up at once, few enough for a core's cache.
+CHUNK = 1 << 14
 DISCOUNT = 0.7
 #: Weight of the class's share in all states when emissions are estimated, and of even transitions.
 PULL, EVEN = 50.0, 1.0
@@ -145,6 +147,7 @@ class Expected:
         self.weight = self.emit / self.emit.max(1, keepdims=True)
         states = len(self.start)
         self.first, self.moved, self.emitted = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
+        self.room = np.empty((2, 0, states))  # of the last step, used again
 
     def edges(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each segment, the states of the token before it (a distribution) and the weight of all that follows, by the state at its end.
@@ -182,8 +185,10 @@ class Expected:
         seen = flat[np.concatenate([begin[:n] + t for t, n in enumerate(live)])]
         states = len(self.start)
         sums = np.ones((states, states))  # a product with it puts a row's sum in each of its places
-        emit = self.weight.take(seen, axis=0)
-        ahead = np.empty_like(emit)
+        if self.room.shape[1] < len(seen):
+            self.room = np.empty((2, len(seen), states))
+        emit, ahead = self.room[:, : len(seen)]
+        self.weight.take(seen, axis=0, out=emit, mode="clip")
         a = np.where(opening[:, None], self.start, before @ self.moves)
         for t, n in enumerate(live):
             at = ahead[rows[t] : rows[t + 1]]
@@ -195,7 +200,6 @@ class Expected:
             if t % EVERY == 0:
                 at /= at @ sums
             a = at
-        both = np.empty_like(ahead)
         turned = np.ascontiguousarray(self.moves.T)
         w = np.empty((0, states))
         for t in range(len(live) - 1, -1, -1):
@@ -203,20 +207,22 @@ class Expected:
             back = np.empty((live[t], states))
             np.matmul(w, turned, out=back[:n])
             back[n:] = after[n : live[t]]
-            part = ahead[at]
-            part = part / ((part * back) @ sums)
-            np.multiply(part, back, out=both[at])
+            both = ahead[at]  # overwritten by the posteriors
+            part = both / ((both * back) @ sums)
+            np.multiply(part, back, out=both)
             self.moved += part[:n].T @ w
             w = emit[at] * back
             if t % EVERY == 0:
                 w /= w @ sums
-        self.first += both[: live[0]][opening].sum(0)
+        self.first += ahead[: live[0]][opening].sum(0)
         inner = ~opening
         if inner.any():
             prior, w = before[inner], w[inner]
             self.moved += (prior / ((prior * (w @ turned)) @ sums)).T @ w
-        for k, x in enumerate(np.ascontiguousarray(both.T)):
-            self.emitted[:, k] += np.bincount(seen, x, len(self.emit))
+        for lo in range(0, len(seen), CHUNK):
+            here = seen[lo : lo + CHUNK]
+            for k, x in enumerate(np.ascontiguousarray(ahead[lo : lo + CHUNK].T)):
+                self.emitted[:, k] += np.bincount(here, x, len(self.emit))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.first, self.moved * self.moves, self.emitted
@@ -225,10 +231,10 @@ class Expected:
 def segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, size, opening) of the segments of texts that lie one after another.
 
-    A text that ``ABREAST`` others last as long as is one segment.
+    A text that ``ABREAST`` texts last as long as, in one step, is one segment.
     """
     begin = np.cumsum(size) - size
-    whole = np.partition(size, -ABREAST)[-ABREAST] if len(size) > ABREAST else 0
+    whole = min(np.partition(size, -ABREAST)[-ABREAST], STEP_TOKENS // ABREAST) if len(size) > ABREAST else 0
     parts = np.where(size <= whole, 1, -(-size // SEGMENT))
     of = np.repeat(np.arange(len(size)), parts)
     part = ragged(np.zeros(len(size), np.int64), parts)

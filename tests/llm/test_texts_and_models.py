@@ -217,6 +217,8 @@ def test_texts_that_many_last_as_long_as_are_whole_and_scaling_changes_no_count(
     assert opening.sum() == len(sizes) and size.sum() == sizes.sum()
     assert (size == 600).sum() == 80 and size[~opening].max() == lm.SEGMENT  # the few longer ones are cut
     assert (begin + size)[:-1].tolist() == begin[1:].tolist()
+    # a step holds too few of very long texts
+    assert lm.segments(np.full(80, 100_000))[1].max() == lm.SEGMENT
     rng = np.random.default_rng(11)
     # states that hardly move, and emissions far apart
     moves = np.full((8, 8), 1e-10) + np.eye(8)
