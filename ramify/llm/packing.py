@@ -10,6 +10,7 @@ least capacity that is large enough.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,11 +30,27 @@ WINDOW = 4096
 SHARD_PIECES = 8192
 #: Words whose ids a task remembers.
 CACHE_WORDS = 200_000
+#: Texts whose new words are encoded together.
+TEXTS = 512
 
 
 #: Words of letters whose lower case and normal form are the same in every Unicode version.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-_PLAIN = re.compile(f"([{_LETTERS}]*)([^\\sA-Za-z0-9'\u0080-\U0010ffff\0-\x1f\x7f]*)")
+_PLAIN = re.compile(f"([{_LETTERS}]*)([^\\sA-Za-z0-9'\u0080-\U0010ffff\0-\x1f\x7f]*)([^\n]*)\n")
+
+
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary; a blank stays one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = np.zeros(256, "<u2")
+    letters[shown] = shown
+    hidden = letters == 0
+    letters[hidden] = 256 + np.arange(np.count_nonzero(hidden))
+    letters[32] = 32
+    return letters
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordIds(dict):
@@ -45,14 +62,15 @@ class WordIds(dict):
     its ids is one that ends a word.  All other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
+        self.limit = limit
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core's work
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.units = Tokenizer.from_file(path)
         self.units.normalizer = normalizers.Sequence([])
-        blanks, level = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.units.pre_tokenizer = pre_tokenizers.Sequence([blanks, level])
+        self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -64,21 +82,27 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """Add words: those of letters at once, the rest when they are asked for."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.limit:
             self.clear()
-        split = {w: m.groups() for w in words if w not in self and (m := _PLAIN.fullmatch(w))}
-        parts = {core.lower() for core, _ in split.values()} | {mark for _, mark in split.values()}
+        new = [w for w in words if w not in self]
+        # (letters, marks, what else): a word holds no line break
+        split = [(w, core.lower(), mark) for w, (core, mark, rest) in zip(new, _PLAIN.findall("\n".join([*new, ""])), strict=True) if not rest]
+        parts = {core for _, core, _ in split}
+        parts.update([mark for _, _, mark in split])
         if ordered := [p for p in parts if p and p not in self]:
-            ids = np.array(self.units.encode(" ".join(ordered), add_special_tokens=False).ids, "<u4")
+            letters = _BYTE_LETTERS[np.frombuffer(" ".join(ordered).encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.units.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(ordered):
                 raise ValueError("this tokenizer does not mark the ends of words")
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(ordered, ends.tolist(), strict=True):
-                self[word], begin = raw[begin:end], end
-        for word, (core, mark) in split.items():
-            if word not in self:
-                self[word] = (self[core.lower()] if core else b"") + (self[mark] if mark else b"")
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.update(zip(ordered, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for word, core, mark in split:
+            if not mark:
+                if core != word:
+                    self[word] = self[core]
+            elif core:
+                self[word] = self[core] + self[mark]
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -148,21 +172,22 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return place, offset
 
 
-def tokenized(docs: DataFrame, path: str, keys: list[Column], text: str = "text", end: int = 2, window: int = WINDOW) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, keys: list[Column], text: str = "text", end: int = 2, window: int = WINDOW, remember: int = CACHE_WORDS) -> DataFrame:
     """Pieces of every row: ``keys``, row, start, length, ids_crc32, doc_tokens and ids (little-endian u32).
 
-    A null text is empty: its only id is ``end``.
+    A null text is empty: its only id is ``end``.  A Python worker remembers about ``remember`` words.
     """
     wanted = docs.select(*keys, F.monotonically_increasing_id().alias("row"), F.col(text).alias("__text"))
     names = [n for n in wanted.columns if n != "__text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = word_ids(path), np.array([end], "<u4").tobytes()
+        words.limit = remember
         for batch in batches:
             texts = pc.fill_null(batch.column("__text"), "")
-            for lo in range(0, len(texts), 256):
+            for lo in range(0, len(texts), TEXTS):
                 of, start, length, crc, total, ids = [], [], [], [], [], []
-                split = [_split(t) for t in texts.slice(lo, 256).to_pylist()]
+                split = [_split(t) for t in texts.slice(lo, TEXTS).to_pylist()]
                 words.learn(set(chain.from_iterable(split)))
                 for i, own in enumerate(split):
                     whole = b"".join(map(words.__getitem__, own)) + last

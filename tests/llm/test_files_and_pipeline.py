@@ -50,6 +50,25 @@ def test_pieces_hold_every_id_once(spark):
         assert at <= 4096
 
 
+def test_words_learned_together_have_the_ids_of_the_whole_tokenizer():
+    from tokenizers import pre_tokenizers
+
+    # the letters of bytes are those of the tokenizer's library
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    every = "".join(chr(c) for c in [*range(33, 0x2000), *range(0x4E00, 0x4F00), *range(0x1F300, 0x1F400)])
+    assert packing._BYTE_LETTERS[np.frombuffer(every.encode(), np.uint8)].tobytes().decode("utf-16-le") == level.pre_tokenize_str(every)[0][0]
+    rng = random.Random(12)
+    kinds = "aAbZzéÉßÿŸİıſ\u212a\u212b\u1e9eΣσ\u0301'\"!.,;:-_|()[]019日🙂\xad\x85\xa0\x1c\x1f\n\t "
+    known = packing.WordIds(tokenizer_path())
+    for _ in range(60):
+        texts = ["".join(rng.choice(kinds if rng.random() < 0.5 else "abc DE.") for _ in range(rng.randint(0, 60))) for _ in range(10)]
+        split = [packing._split(t) for t in texts]
+        known.learn({w for own in split for w in own})
+        for text, own in zip(texts, split, strict=True):
+            got = np.frombuffer(b"".join(known[w] for w in own), "<u4").tolist()
+            assert [*got, 2] == plain_ids(text)
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 65, 300)
