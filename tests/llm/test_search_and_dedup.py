@@ -161,6 +161,26 @@ def test_large_blocks_are_halved(monkeypatch):
             assert anywhere[text] <= got[i, at] <= aligned[text, at]
 
 
+def test_blocks_of_a_whole_step_are_built_together(monkeypatch):
+    rng = np.random.default_rng(15)
+    count = 16_000  # pairs, 1.3 MB
+    rows = rng.integers(97, 123, (count, suffixes.PIECE)).astype(np.uint8)
+    copied = rng.random(count // 2) < 0.5
+    rows[1::2][copied, 10:75] = rows[::2][copied, 10:75]
+    rows[:, 9] = rows[:, 75] = 65 + np.arange(count) % 2  # no copy is longer by chance
+    owner, valid = rng.permutation(count), np.ones((count, suffixes.STARTS), bool)
+    calls, plain = [], suffixes.suffix_arrays
+    monkeypatch.setattr(suffixes, "suffix_arrays", lambda text, block: calls.append(len(block) - 1) or plain(text, block))
+    got = suffixes.least_of_strings(rows, owner, np.repeat(np.arange(count // 2), 2), valid)
+    assert calls == [count // 2]
+    want = np.repeat(owner[:, None], suffixes.STARTS, 1)
+    least = np.minimum(owner[::2], owner[1::2])[copied]
+    for side in (0, 1):
+        part = want[side::2]
+        part[np.ix_(copied, np.arange(10, 75 - suffixes.SPAN + 1))] = least[:, None]
+    assert (got == want).all()
+
+
 def plain_fingerprint(text, words):
     parts = (text or "").encode().lower().split()
     shingles = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
