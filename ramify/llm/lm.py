@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramify.llm.quality import kth_largest
-from ramify.llm.texts import bounds, mixed, pieces, ragged, word_hashes, words
+from ramify.llm.texts import bounds, lowered, mixed, pieces, ragged, run_hashes, words
 from ramify.session import RunFolder
 
 HEAD, TAIL, STATES = 16384, 1024, 8
@@ -49,21 +49,13 @@ HELD_WORDS = 2_000_000
 
 def _tail_class(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Class of each word by its last three bytes (A-Z as a-z)."""
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
     key = np.zeros(len(start), np.uint64)
     for k in range(1, 4):
         at = end - k
-        key = key << np.uint64(8) | np.where(at >= start, low[np.maximum(at, 0)], np.uint64(0))
+        key = key << np.uint64(8) | np.where(at >= start, lowered(data[np.maximum(at, 0)]), np.uint8(0))
     return (mixed(key) % np.uint64(TAIL)).astype(np.int32)
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, tail class, row) of every word."""
-    start, end, _ = words(data, offsets)
-    hashes, row = word_hashes(data, offsets)
-    return hashes, _tail_class(data, start, end), row
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c, n) over all rows of (t): word hash, tail class, count."""
 
@@ -82,10 +74,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column("t")):
-                word, c, _ = _tokens(data, offsets)
-                if len(word):
-                    word, first, n = np.unique(word, return_index=True, return_counts=True)
-                    held.append((word, c[first], n))
+                start, end, _ = words(data, offsets)
+                if len(start):
+                    word, first, n = np.unique(run_hashes(data, start, end), return_index=True, return_counts=True)
+                    held.append((word, _tail_class(data, start[first], end[first]), n))
                     size += len(word)
                 if size > 2 * HELD_WORDS:
                     held[:] = [merged()]
@@ -146,7 +138,7 @@ class Expected:
         # a token's likeliest state emits it with weight 1, so few steps shrink no weight to zero
         self.weight = self.emit / self.emit.max(1, keepdims=True)
         states = len(self.start)
-        self.first, self.moved, self.emitted = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape)
+        self.first, self.moved, self.emitted = np.zeros(states), np.zeros((states, states)), np.zeros(self.emit.shape[::-1])
         self.room = np.empty((2, 0, states))  # of the last step, used again
 
     def edges(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +181,7 @@ class Expected:
             self.room = np.empty((2, len(seen), states))
         emit, ahead = self.room[:, : len(seen)]
         self.weight.take(seen, axis=0, out=emit, mode="clip")
-        a = np.where(opening[:, None], self.start, before @ self.moves)
+        a, scales = np.where(opening[:, None], self.start, before @ self.moves), []
         for t, n in enumerate(live):
             at = ahead[rows[t] : rows[t + 1]]
             if t:
@@ -198,7 +190,8 @@ class Expected:
                 at[:] = a
             at *= emit[rows[t] : rows[t + 1]]
             if t % EVERY == 0:
-                at /= at @ sums
+                scales.append(at @ sums)
+                at /= scales[-1]
             a = at
         turned = np.ascontiguousarray(self.moves.T)
         w = np.empty((0, states))
@@ -206,14 +199,16 @@ class Expected:
             at, n = slice(rows[t], rows[t + 1]), len(w)
             back = np.empty((live[t], states))
             np.matmul(w, turned, out=back[:n])
-            back[n:] = after[n : live[t]]
             both = ahead[at]  # overwritten by the posteriors
-            part = both / ((both * back) @ sums)
-            np.multiply(part, back, out=both)
-            self.moved += part[:n].T @ w
-            w = emit[at] * back
+            if n < live[t]:
+                back[n:] = after[n : live[t]] / ((both[n:] * after[n : live[t]]) @ sums)
+            # scaled as on the way there, so a row of both * back adds up to 1 from its end on
+            self.moved += both[:n].T @ w
+            both *= back
+            w = back
+            w *= emit[at]
             if t % EVERY == 0:
-                w /= w @ sums
+                w /= scales.pop()
         self.first += ahead[: live[0]][opening].sum(0)
         inner = ~opening
         if inner.any():
@@ -222,10 +217,10 @@ class Expected:
         for lo in range(0, len(seen), CHUNK):
             here = seen[lo : lo + CHUNK]
             for k, x in enumerate(np.ascontiguousarray(ahead[lo : lo + CHUNK].T)):
-                self.emitted[:, k] += np.bincount(here, x, len(self.emit))
+                self.emitted[k] += np.bincount(here, x, len(self.emit))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.first, self.moved * self.moves, self.emitted
+        return self.first, self.moved * self.moves, self.emitted.T
 
 
 def segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,20 +311,22 @@ class LanguageModel:
         def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, last, data, offsets in pieces(batch.column("t")):
-                    word, c, row = _tokens(data, offsets)
-                    n = last - first
+                    start, end, row = words(data, offsets)
+                    word, n = run_hashes(data, start, end), last - first
                     at = np.searchsorted(head, word) if len(head) else np.zeros(len(word), np.int64)
                     known = head[np.minimum(at, len(head) - 1)] == word if len(head) else np.zeros(len(word), bool)
-                    cls = np.where(known, at, HEAD + 1 + c).astype(np.uint16)
+                    rest = ~known
+                    c = _tail_class(data, start[rest], end[rest])
+                    cls = at.astype(np.uint16)
+                    cls[rest] = HEAD + 1 + c
                     begin = bounds(row, n)
                     seq = np.insert(cls, begin[1:], np.uint16(HEAD))
                     cuts = (begin + np.arange(n + 1)) * 2
                     raw = seq.tobytes()
                     classes = pa.array([raw[cuts[i] : cuts[i + 1]] for i in range(n)], pa.binary())
                     # the tail words of each row, once with their number there
-                    rest = ~known
                     order = np.lexsort((word[rest], row[rest]))
-                    w, r, k = word[rest][order], row[rest][order], c[rest][order]
+                    w, r, k = word[rest][order], row[rest][order], c[order]
                     new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1])])) if len(w) else np.zeros(0, np.int64)
                     times = np.diff(np.append(new, len(w))).astype(np.int32)
                     records = pa.StructArray.from_arrays([pa.array(w[new].view(np.int64)), pa.array(k[new]), pa.array(times)], names=["word", "c", "times"])

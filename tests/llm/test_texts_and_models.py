@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, langid, lm, quality, secrets
+from ramify.llm import decontaminate, langid, lm, quality, secrets, texts
 from ramify.llm.texts import flat, word_hashes, words
 
 
@@ -27,6 +27,19 @@ def test_words_equal_the_pattern():
     assert len({int(h) for h in hashes[:4]}) == 1 and len(set(hashes.tolist())) == 4
 
 
+def test_runs_of_usual_length_share_their_powers(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    plain = texts.powers
+    monkeypatch.setattr(texts, "powers", lambda base, n: asked.append(n) or plain(base, n))
+    short = [word_hashes(*flat(pa.array([f"some words {i}", "Abc"])))[0] for i in range(5)]
+    assert len(asked) <= 2  # before: two for each run
+    # a run that is longer than usual has the same hashes
+    long = word_hashes(*flat(pa.array(["x" * texts.PIECE_BYTES + " some words 4 abc"])))[0]
+    assert long[1:].tolist() == short[4].tolist()
+
+
 # --- decontamination
 
 
