@@ -170,6 +170,41 @@ def lu_solve(lu: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+#: How far entries of L, and those of U beside the largest one, may lie from what ``lu_expanded`` makes of generators.
+GENERATED = 1e-14
+
+
+def lu_generators(u: np.ndarray, v: np.ndarray, d: np.ndarray, lu: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The factors ``lu`` of a stack of ``u v' + diag(d)`` as 4 r + 1 numbers a row, and where these give them back.
+
+    Without row exchanges L is ``u a'`` below the diagonal and U is ``b v'`` above it: u, v, a, b and the pivots are kept.
+    """
+    m, n, r = u.shape
+    left, a, b, pivots = np.tile(np.eye(r), (m, 1, 1)), np.empty((m, n, r)), np.empty((m, n, r)), np.empty((m, n))
+    with np.errstate(all="ignore"):
+        for j in range(n):
+            column = (left @ v[:, j, :, None])[:, :, 0]
+            b[:, j] = (u[:, j, None, :] @ left)[:, 0]
+            pivots[:, j] = d[:, j] + (u[:, j] * column).sum(1)
+            a[:, j] = column / pivots[:, j, None]
+            left = left - a[:, j, :, None] * b[:, j, None, :]
+        kept = np.concatenate([np.swapaxes(x, 1, 2) for x in (u, v, a, b)] + [pivots[:, None]], axis=1)
+        off = np.abs(lu_expanded(kept) - lu)
+        below = np.tril(np.ones((n, n), bool), -1)
+        scale = np.where(below, 1.0, np.abs(lu).max((1, 2))[:, None, None])
+        good = (off <= GENERATED * scale).all((1, 2)) & (order == np.arange(n)).all(1)
+    return kept, good
+
+
+def lu_expanded(kept: np.ndarray) -> np.ndarray:
+    """Dense LU factors out of a stack of generators."""
+    r, n = kept.shape[1] // 4, kept.shape[2]
+    u, v, a, b = (kept[:, k * r : (k + 1) * r] for k in range(4))
+    lu = np.tril(np.swapaxes(u, 1, 2) @ a, -1) + np.triu(np.swapaxes(b, 1, 2) @ v, 1)
+    lu[:, np.arange(n), np.arange(n)] = kept[:, -1]
+    return lu
+
+
 def factor_sweep(grams: np.ndarray, where: object) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
     """The steps of merging neighbouring subtrees with grams ``V'u``, and the merged gram.
 

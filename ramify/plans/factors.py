@@ -3,7 +3,8 @@
 ``Factorization`` keeps what a solve of ``(U V' + diag(D)) x = b`` makes out of the matrix alone:
 
 * one row per leaf: its rows' keys, the LU factors and pivots of its dense block ``K``, ``u = K^-1 U`` and
-  ``s = K^-T V`` (leaves are factored and solved many at once);
+  ``s = K^-T V`` (leaves are factored and solved many at once).  Factors that took no row exchanges are kept as
+  generators, 4 r + 1 numbers a row instead of one per row of the leaf, where these give them back to the last digits;
 * one row per inner node of the tree (which merges up to ``2**FAN_IN`` children): the LU factors of its
   coupling systems with the grams and solutions that they go with.
 
@@ -27,7 +28,9 @@ from ramify.operators.kernels import (
     factor_sweep,
     list_column,
     low_rank_block,
+    lu_expanded,
     lu_factor,
+    lu_generators,
     lu_solve,
     replay_sweep,
     solve,
@@ -56,6 +59,31 @@ def _stacks(sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from ((n, at, min(at + step, hi)) for at in range(lo, hi, step))
 
 
+def _kept_factors(u: np.ndarray, v: np.ndarray, d: np.ndarray, lu: np.ndarray, order: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The factors of a stack of leaves as list columns: generators and no row order where these do, else both as they are."""
+    m, n, r = u.shape
+    kept, good = lu_generators(u, v, d, lu, order) if 4 * r + 1 < n else (lu, np.zeros(m, bool))
+    ends = lambda full: pa.array(np.concatenate([[0], np.cumsum(full)]), pa.int32())
+    parts = [kept[k] if good[k] else lu[k] for k in range(m)]
+    values = kept if good.all() else np.concatenate([x.ravel() for x in parts])
+    factors = pa.ListArray.from_arrays(ends([x.size for x in parts]), pa.array(values.ravel()))
+    return factors, pa.ListArray.from_arrays(ends(np.where(good, 0, n)), pa.array(order[~good].astype(np.int32).ravel()))
+
+
+def _factors(lu: tuple[np.ndarray, np.ndarray], perm: tuple[np.ndarray, np.ndarray], n: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_kept_factors`` was given for the leaves ``lo`` to ``hi``, which have ``n`` rows."""
+    (lu_at, lu_values), (perm_at, perm_values) = lu, perm
+    out, order = np.empty((hi - lo, n, n)), np.tile(np.arange(n), (hi - lo, 1))
+    dense = np.diff(perm_at[lo : hi + 1]) > 0
+    for these, give in ((dense, lambda x: x.reshape(-1, n, n)), (~dense, lambda x: lu_expanded(x.reshape(len(x), -1, n)))):
+        if these.any():
+            at = lo + np.flatnonzero(these)
+            size = lu_at[at[0] + 1] - lu_at[at[0]]
+            out[these] = give(lu_values[lu_at[at][:, None] + np.arange(size)])
+    order[dense] = perm_values[perm_at[lo] : perm_at[hi]].reshape(-1, n)
+    return out, order
+
+
 class Factorization:
     """Stored factors of a ``Hodlr`` system; make one with ``Hodlr.factor``.
 
@@ -105,7 +133,8 @@ class Factorization:
                     pa.array(np.arange(seq, seq + m, dtype=np.int64)),
                     pa.array(np.full(m, n, np.int32)),
                     pa.ListArray.from_arrays(ends, rows),
-                    *(list_column(x.reshape(m, -1)) for x in (lu, perm.astype(np.int32), solved, s)),
+                    *_kept_factors(u, v, d[:, :, 0], lu, perm),
+                    *(list_column(x.reshape(m, -1)) for x in (solved, s)),
                     list_column((np.swapaxes(v, 1, 2) @ solved).reshape(m, -1)),
                 ],
                 ["grp", "seq", "n", "rows", "lu", "perm", "u", "s", "g"],
@@ -142,7 +171,7 @@ class Factorization:
         seen = Observation()
         leaves = leaves.observe(seen, F.max("grp").alias("grp"), F.max("seq").alias("seq"), F.count("*").alias("n"))
         target = f"{self.folder.path}/leaves"
-        leaves.write.option("parquet.block.size", LEAF_GROUP_BYTES).parquet(target)
+        leaves.write.option("parquet.block.size", LEAF_GROUP_BYTES).option("compression", "zstd").parquet(target)
         top = seen.get
         if top["grp"] is None:
             raise ValueError("the system has no rows")
@@ -278,28 +307,45 @@ class Factorization:
         return above
 
     def _applied(self, leaves: DataFrame, coefficients: DataFrame | None, nrhs: int) -> DataFrame:
-        r, keys, coupled = self.rank, list(self.keys), coefficients is not None
-        columns = ["n", "rows", "lu", "perm", "u", "b"]
-        if coefficients is not None:
-            if self.count * 8 * (r * nrhs + 2) <= BROADCAST_BYTES:
-                coefficients = F.broadcast(coefficients)
-            leaves, columns = leaves.join(coefficients, "id"), [*columns, "c"]
+        """``x = K^-1 b - u c``; the factors stay where they are stored, also where coefficients come by shuffle."""
+        r, names = self.rank, [f"_c{k}" for k in range(len(self.keys))]
         kinds = [self._system.schema[k].dataType.simpleString() for k in self.keys]
+        fields = ", ".join(f"{n}: {kind}" for n, kind in zip(names, kinds, strict=True))
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """``y = K^-1 b`` of each leaf."""
+            for batch in batches:
+                lu, perm, (b_at, b) = (_flat(batch.column(c)) for c in ("lu", "perm", "b"))
+                kept = [batch.column(c) for c in ("id", "n", "rows", "u")]
+                y = np.empty(len(b) if batch.num_rows else 0)
+                for n, lo, hi in _stacks(batch.column("n").to_numpy()):
+                    if hi > lo:
+                        here = b[b_at[lo] : b_at[hi]].reshape(hi - lo, n, nrhs)
+                        y[b_at[lo] - b_at[0] : b_at[hi] - b_at[0]] = lu_solve(*_factors(lu, perm, n, lo, hi), here).ravel()
+                ends = pa.array(b_at - b_at[0], pa.int32())
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(ends, pa.array(y[: b_at[-1] - b_at[0]]))], ["id", "n", "rows", "u", "y"])
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                flat = [_flat(batch.column(c)) for c in ("lu", "perm", "u", "b")]
-                c = dense_rows(batch.column("c"), batch.num_rows).reshape(-1, r, nrhs) if coupled else None
+                (u_at, u), (y_at, y) = (_flat(batch.column(c)) for c in ("u", "y"))
+                c = dense_rows(batch.column("c"), batch.num_rows).reshape(-1, r, nrhs) if "c" in batch.schema.names else None
                 for n, lo, hi in _stacks(batch.column("n").to_numpy()):
                     m = hi - lo
-                    lu, perm, u, b = (x[at[lo] : at[hi]].reshape(m, n, -1) for at, x in flat)
-                    x = lu_solve(lu, perm[:, :, 0].astype(np.int64), b)
-                    if coupled:
-                        x -= u @ c[lo:hi]
-                    kept = batch.column("rows").slice(lo, m).flatten().flatten()[: len(keys)]
-                    yield pa.RecordBatch.from_arrays([*kept, list_column(x.reshape(m * n, nrhs))], [*keys, "x"])
-
-        schema = ", ".join(f"`{k}` {kind}" for k, kind in zip(keys, kinds, strict=True)) + ", x array<double>"
-        return leaves.select(*columns).mapInArrow(rows, schema)
+                    x = y[y_at[lo] : y_at[hi]].reshape(m, n, nrhs)
+                    if c is not None:
+                        x = x - u[u_at[lo] : u_at[hi]].reshape(m, n, r) @ c[lo:hi]
+                    kept = batch.column("rows").slice(lo, m).flatten().flatten()
+                    yield pa.RecordBatch.from_arrays([*kept, list_column(x.reshape(m * n, nrhs))], [*self_keys, "x"])
+
+        self_keys = list(self.keys)
+        keyed = F.transform("rows", lambda row: F.struct(*[row[c].alias(c) for c in names])).alias("rows")
+        solved = leaves.select("id", "n", keyed, "lu", "perm", "u", "b")
+        solved = solved.mapInArrow(own, f"id bigint, n int, rows array<struct<{fields}>>, u array<double>, y array<double>")
+        if coefficients is not None:
+            small = self.count * 8 * (r * nrhs + 2) <= BROADCAST_BYTES
+            # else hashed, so that the rows are not sorted
+            solved = solved.join(F.broadcast(coefficients) if small else coefficients.hint("shuffle_hash"), "id")
+        schema = ", ".join(f"`{k}` {kind}" for k, kind in zip(self.keys, kinds, strict=True)) + ", x array<double>"
+        return solved.mapInArrow(rows, schema)
